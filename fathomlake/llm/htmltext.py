@@ -27,7 +27,7 @@ ENDS_P = BLOCK - {"li", "dt", "dd", "body", "html", "caption", "tbody", "td", "t
 TAG_COST = {"nav": -6, "footer": -6, "aside": -6, "form": -6, "menu": -5, "button": -6, "label": -3, "dialog": -6, "search": -6, "header": -3, "fieldset": -5, "article": 3.5, "main": 2.5}
 NEGATIVE = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-links comment comments consent cookie cookies copyright disclaimer disqus footer foot form header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup popups promo promos promotion related recommended replies reply respond search share sharing sidebar sidebars side sidenav skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert contentinfo complementary dialog discussion reactions reviews tracking gdpr privacy login signup signin"
 POSITIVE = "article articlebody content post entry story main maincontent body text hentry page prose"
-NAME_COST = {**dict.fromkeys(POSITIVE.split(), 2.0), **dict.fromkeys(NEGATIVE.split(), -5.0)}
+NAME_COST = {**dict.fromkeys(POSITIVE.split(), 2.0), **dict.fromkeys(NEGATIVE.split(), -6.0)}
 
 _TOKEN = re.compile(r"<!--(?:.*?(?:--!?>|\Z)|>)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)(?:\s+|/(?!>)|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|\"|'|=)*/?(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?", re.I)
@@ -162,10 +162,10 @@ def log_odds(b: Block) -> float:
     w = WEIGHTS
     words = b.text.count(" ") + 1
     own = w["bias"] + w["words"] * math.log(words) + w["linked"] * min(1.0, b.linked / max(1, len(b.text))) + (w["sentence"] if _SENTENCE.search(b.text) else 0.0) + (w["heading"] if b.heading else 0.0)
-    return max(-3.0, min(3.0, own)) + b.prior
+    return max(-3.0, min(2.5, own)) + b.prior
 
 
-def edges_of(blocks: list[Block], adjacent: float = 0.4, proximity: float = 1.0) -> list[tuple[int, int, float]]:
+def edges_of(blocks: list[Block], adjacent: float = 0.3, proximity: float = 0.7) -> list[tuple[int, int, float]]:
     """Smoothness: each block with the next, more so the more elements they share; and with the last one under the same parent."""
     out: list[tuple[int, int, float]] = []
     last: dict[tuple[int, ...], int] = {}
