@@ -163,16 +163,20 @@ def propose(table: pa.Table, last: bool) -> pa.Table:
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
     s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(doc), -1)[order]
-    votes = np.zeros(len(doc))
-    for j in range(s.shape[1]):
-        _, inverse, many = np.unique(s[:, j], return_inverse=True, return_counts=True)
-        votes += many[inverse]
-    centre = int(np.argmax(votes))
-    links = set()
-    for i in range(len(doc)):
-        same = (s == s[i]).mean(1)
+    centre, links = 0, set()
+    if len(doc) <= 64:
+        agree = (s[:, None] == s[None]).mean(2)
+        centre = int(np.argmax(agree.sum(1)))
+    else:
+        agree, votes = None, np.zeros(len(doc))
+        for j in range(s.shape[1]):
+            _, inverse, many = np.unique(s[:, j], return_inverse=True, return_counts=True)
+            votes += many[inverse]
+        centre = int(np.argmax(votes))
+    for i in range(len(doc) if len(doc) > 2 else len(doc) - 1):
+        same = agree[i] if agree is not None else (s == s[i]).mean(1)
         same[i] = -1
-        near = np.argsort(-same, kind="stable")[: NEAREST]
+        near = np.argpartition(-same, NEAREST - 1)[:NEAREST] if len(doc) > NEAREST else np.arange(len(doc))
         for j in {centre, *near.tolist()} - {i}:
             if same[j] >= 0.5:
                 links.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
