@@ -19,52 +19,66 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "junk").when(quality.isNotNull(), "clean")
 
 
+#: Sets of characters whose share of a text is a feature, in LEVELS levels.
+SIGNS = ("#*$%&", "!", "|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+LEVELS = 5
+
+
 def word_buckets(text: Column, buckets: int) -> Column:
-    """Two hashed features a word: the word, in 0 .. buckets - 1, and its last character, in buckets .. 2 * buckets - 1."""
+    """The words, hashed to 0 .. buckets - 1."""
     t = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE))
     words = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t-\\r]+"))
-    return F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int").alias("w"), (F.pmod(F.xxhash64(F.right(w, F.lit(1))), F.lit(buckets)) + buckets).cast("int").alias("c")))
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+
+
+def signs(text: Column, words: Column, buckets: int) -> Column:
+    """A feature for each of SIGNS and one for the share of different words, numbered from buckets on."""
+    t = F.coalesce(text, F.lit(""))
+    share = [(F.length(t) - F.length(F.translate(t, chars, ""))) * 20 / F.greatest(F.length(t), F.lit(1)) for chars in SIGNS]
+    share.append(F.size(F.array_distinct(words)) * LEVELS / F.greatest(F.size(words), F.lit(1)))
+    return F.array(*[F.least(F.floor(x), F.lit(LEVELS - 1)).cast("int") + (buckets + i * LEVELS) for i, x in enumerate(share)])
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id_col: str, text_col: str, buckets: int, max_rows: int) -> tuple[list[float], list[list[float]]]:
-    """Naive Bayes over word_buckets: each domain's log prior, and the log probability of each feature.
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id_col: str, text_col: str, buckets: int, max_rows: int, informative: int = 256) -> tuple[list[float], dict[int, list[float]]]:
+    """Naive Bayes over word_buckets and signs: each domain's log odds against the first, and those of the features.
 
-    Fitted on at most max_rows labelled documents, those of least id hash; the table has 2 * buckets rows whatever the input.
+    Fitted on at most max_rows labelled documents, those of least id hash. Of the word buckets the `informative` ones are kept
+    whose log odds, times how often they occur, are largest; so the table is small whatever the input.
     """
     known = labels.select(F.col(id_col).alias("__id"), domain_of(F.col("quality"), F.col("toxic")).alias("__domain")).where(F.col("__domain").isin(*domains)).dropDuplicates(["__id"])
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id")
-    rows = saved(rows.select("__domain", F.array_distinct(word_buckets(F.col("__text"), buckets)).alias("__f")))
-    priors = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(priors.values())
-    words = rows.select("__domain", F.explode(F.flatten(F.transform("__f", lambda f: F.array(f["w"], f["c"])))).alias("f"))
-    counts = {(r["__domain"], r["f"]): r["n"] for r in words.groupBy("__domain", "f").agg(F.count("*").alias("n")).collect()}
-    prior = [math.log((priors.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    table = []
-    for d in domains:
-        seen = [counts.get((d, f), 0) + 0.5 for f in range(2 * buckets)]
-        halves = [sum(seen[:buckets]), sum(seen[buckets:])]
-        table.append([math.log(x / halves[f >= buckets]) for f, x in enumerate(seen)])
-    return prior, table
-
-
-def with_posteriors(docs: DataFrame, prior: list[float], table: list[list[float]], *, text_col: str, buckets: int, prefix: str) -> DataFrame:
-    """docs with <prefix>n (words) and <prefix>0, <prefix>1, ...: the posteriors, tempered by the root of the word count."""
-    out = docs.withColumn(prefix + "f", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "f").cast("long"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").withColumn("__w", word_buckets(F.col("__text"), buckets))
+    rows = saved(rows.select("__domain", F.concat(F.array_distinct("__w"), signs(F.col("__text"), F.col("__w"), buckets)).alias("__f")))
+    documents = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
+    counts = {(r["__domain"], r["f"]): r["n"] for r in rows.select("__domain", F.explode("__f").alias("f")).groupBy("__domain", "f").agg(F.count("*").alias("n")).collect()}
+    present = lambda d, f: (counts.get((d, f), 0) + 0.5) / (documents.get(d, 0) + 1.0)
+    prior = [math.log((documents.get(d, 0) + 1) / (documents.get(domains[0], 0) + 1)) for d in domains]
+    odds = {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in range(buckets + LEVELS * (len(SIGNS) + 1))}
+    gain = lambda f: sum(abs(o) * max(present(d, f), present(domains[0], f)) for o, d in zip(odds[f], domains, strict=True))
+    best = sorted(range(buckets), key=lambda f: (-gain(f), f))[:informative]
+    return prior, {f: odds[f] for f in [*sorted(best), *range(buckets, len(odds))]}
+
+
+def with_posteriors(docs: DataFrame, prior: list[float], table: dict[int, list[float]], *, text_col: str, buckets: int, prefix: str) -> DataFrame:
+    """docs with <prefix>n (words) and <prefix>0, <prefix>1, ...: the posteriors. A word bucket counts once a document."""
+    words = [f for f in table if f < buckets]
+    out = docs.withColumn(prefix + "w", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "w").cast("long"))
+    out = out.withColumn(prefix + "f", F.concat(F.array_intersect(prefix + "w", F.array(*map(F.lit, words)).cast("array<int>")), signs(F.col(text_col), F.col(prefix + "w"), buckets)))
+    places = {f: i for i, f in enumerate(table)}
+    place = F.array(*[F.lit(places.get(f, -1)) for f in range(max(table) + 1)])
+    out = out.withColumn(prefix + "p", F.transform(prefix + "f", lambda f: F.get(place, f)))
     for k in range(1, len(prior)):
-        odds = [a - b for a, b in zip(table[k], table[0], strict=True)]
-        weight = F.array(*[F.lit(round(x, 6)) for x in odds])
-        score = F.aggregate(F.col(prefix + "f"), F.lit(0.0), _adder(weight))
-        out = out.withColumn(f"{prefix}s{k}", F.lit(prior[k] - prior[0]) + score / F.sqrt(F.greatest(F.col(prefix + "n"), F.lit(1))))
+        weight = F.array(*[F.lit(round(odds[k], 6)) for odds in table.values()])
+        out = out.withColumn(f"{prefix}s{k}", F.lit(prior[k]) + F.aggregate(F.col(prefix + "p"), F.lit(0.0), _adder(weight)))
     top = F.greatest(F.lit(0.0), *[F.col(f"{prefix}s{k}") for k in range(1, len(prior))]) if len(prior) > 1 else F.lit(0.0)
     parts = [F.exp(F.lit(0.0) - top), *[F.exp(F.col(f"{prefix}s{k}") - top) for k in range(1, len(prior))]]
     total = sum(parts[1:], parts[0])
     out = out.withColumns({f"{prefix}{k}": x / total for k, x in enumerate(parts)})
-    return out.drop(prefix + "f", *[f"{prefix}s{k}" for k in range(1, len(prior))])
+    return out.drop(*[prefix + c for c in "wfp"], *[f"{prefix}s{k}" for k in range(1, len(prior))])
 
 
 def _adder(weight: Column):
-    return lambda total, f: total + F.get(weight, f["w"]) + F.get(weight, f["c"])
+    return lambda total, place: total + F.get(weight, place)
 
 
 def solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -123,7 +137,7 @@ def rate(prefix: str, v: list[float]) -> Column:
     return F.greatest(F.lit(0.0), sum((F.col(f"{prefix}{i}") * x for i, x in enumerate(v)), F.lit(1.0)))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, buckets: int = 2048, max_fit_rows: int = 20_000) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, buckets: int = 2048, max_fit_rows: int = 10_000) -> DataFrame:
     """Every row of docs with n_tokens (words), posteriors (a map by domain), rate (>= 0) and copies.
 
     The rates make the expected tokens of each domain meet its target share. With keep_all the total is as large as it must
