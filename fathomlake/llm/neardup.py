@@ -4,13 +4,15 @@
 2. By shingle hash, document frequencies are summed; batches get back those of shingles that two documents or more hold.
 3. A document can only reach the similarity if such shingles make up that share of its own weight; only then is it sampled.
    Documents with the same weighted shingles form a class at once, and one of them stands for it.
-4. Representatives that agree in a band propose links: to the one nearest the bucket's commonest samples, and to those that
-   agree with them in most samples. Buckets are cut in blocks, whose centres meet again.
-5. Proposed links are verified on the weighted shingles; connected components of verified links are the classes.
+4. Representatives that agree in a band propose links to those that agree with them in most samples, as many as connect all
+   candidates. Buckets are cut in blocks; a centre of each component of a block meets those of the bucket's other blocks.
+5. Proposed links are verified on the weighted shingles. Where one fails, its block proposes further pairs between what is
+   not connected yet, until no candidate pair is left. Connected components of verified links are the classes.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -26,8 +28,12 @@ from .repeats import BLOB, Batch, rows, told
 BANDS, ROWS = 16, 4
 #: Representatives of a bucket that are compared by their samples in one task.
 BLOCK = 1024
-#: Nearest partners that a representative proposes in a block, besides the centre.
+#: Nearest partners that a representative proposes at first.
 NEAREST = 2
+#: Share of samples in which candidates agree: at a similarity of 0.8 one pair in 100,000 agrees in less.
+AGREE = 0.58
+#: Most levels on which blocks' centres meet again.
+LEVELS = 8
 #: (element, sample) pairs that are drawn at once.
 STEP = 1 << 19
 
@@ -157,32 +163,86 @@ def sign(b: Batch, answers: pa.Table, n_docs: int, buckets: int, width: int, thr
     return pa.Table.from_arrays([pa.array(b.ids[good], pa.int64()), pa.array(keys[0][good].view(np.int64), pa.int64()), pa.array(keys[1][good].view(np.int64), pa.int64()), pa.array(signature, pa.binary()), pa.array(content, pa.binary())], schema=SIGNED)
 
 
-def propose(table: pa.Table, last: bool) -> pa.Table:
-    """Links of a block of a bucket: each representative to the block's centre and to those nearest it; and the centre itself."""
+def agreement(s: np.ndarray) -> np.ndarray:
+    """Documents by documents: the share of samples in which two agree."""
+    if len(s) <= 64:
+        return (s[:, None] == s[None]).mean(2)
+    out = np.zeros((len(s), len(s)), np.uint16)
+    for j in range(s.shape[1]):
+        _, v = np.unique(s[:, j], return_inverse=True)
+        v = v.astype(np.uint16)
+        out += v[:, None] == v[None]
+    return (out / np.float32(s.shape[1])).astype(np.float32)
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component labels (smallest members) after the links i, j."""
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, before[i], least)
+        np.minimum.at(label, before[j], least)
+        while (label[label] != label).any():
+            label = label[label]
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def propose(doc: np.ndarray, s: np.ndarray, tried: tuple[np.ndarray, np.ndarray, np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links to verify among the documents of a block, as places i and j, and a centre of each component that they make.
+
+    tried: places i and j, and whether the pair was verified. Each document proposes its `nearest` partners by samples that are
+    not yet in its component; and while a candidate pair is left between two components, the best such pair of each. So if all
+    proposals are verified, the components are those of all candidate pairs, and blocks with a failure are asked again.
+    """
+    n = len(doc)
+    a, b, ok = tried
+    label = joined(np.arange(n), a[ok], b[ok])
+    w = agreement(s)
+    w[a[~ok], b[~ok]] = w[b[~ok], a[~ok]] = -1
+    w[(w < AGREE) | (label[:, None] == label[None])] = -1
+    k = min(nearest, n - 1)
+    near = np.argpartition(-w, k - 1, axis=1)[:, :k] if k else np.zeros((n, 0), np.int64)
+    i = np.repeat(np.arange(n), k)
+    j = near.ravel()
+    keep = w[i, j] >= 0
+    i, j = i[keep], j[keep]
+    label = joined(label, i, j)
+    while True:
+        w[label[:, None] == label[None]] = -1
+        partner = w.argmax(1)
+        value = w[np.arange(n), partner]
+        order = np.lexsort((-value, label))
+        head = order[np.unique(label[order], return_index=True)[1]]
+        head = head[value[head] >= 0]
+        if not len(head):
+            break
+        i, j = np.append(i, head), np.append(j, partner[head])
+        label = joined(label, head, partner[head])
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    pair = np.unique(low * n + high)
+    degree = np.bincount(np.append(pair // n, pair % n), minlength=n)
+    order = np.lexsort((-degree, label))
+    return pair // n, pair % n, order[np.unique(label[order], return_index=True)[1]]
+
+
+def propose_block(table: pa.Table, tried: pa.Table | None, nearest: int) -> pa.Table:
+    """propose() on a block's rows: links (a < b) and, the first time, centres (a = b). tried: its pairs so far."""
     doc = np.asarray(table.column("doc"))
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
-    s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(doc), -1)[order]
-    centre, links = 0, set()
-    if len(doc) <= 64:
-        agree = (s[:, None] == s[None]).mean(2)
-        centre = int(np.argmax(agree.sum(1)))
+    if len(doc) == 1:
+        a = b = doc
     else:
-        agree, votes = None, np.zeros(len(doc))
-        for j in range(s.shape[1]):
-            _, inverse, many = np.unique(s[:, j], return_inverse=True, return_counts=True)
-            votes += many[inverse]
-        centre = int(np.argmax(votes))
-    for i in range(len(doc) if len(doc) > 2 else len(doc) - 1):
-        same = agree[i] if agree is not None else (s == s[i]).mean(1)
-        same[i] = -1
-        near = np.argpartition(-same, NEAREST - 1)[:NEAREST] if len(doc) > NEAREST else np.arange(len(doc))
-        for j in {centre, *near.tolist()} - {i}:
-            if same[j] >= 0.5:
-                links.add((min(doc[i], doc[j]), max(doc[i], doc[j])))
-    a, b = zip(*sorted(links), strict=True) if links else ((), ())
-    kind = ["link"] * len(a) + ["centre"] * (not last)
-    return pa.table({"kind": pa.array(kind, pa.string()), "a": pa.array([*map(int, a), *([int(doc[centre])] * (not last))], pa.int64()), "b": pa.array([*map(int, b), *([int(doc[centre])] * (not last))], pa.int64())})
+        s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(doc), -1)[order]
+        none = np.zeros(0, np.int64)
+        pairs = (none, none, np.zeros(0, bool)) if tried is None else (np.searchsorted(doc, np.asarray(tried.column("a"))), np.searchsorted(doc, np.asarray(tried.column("b"))), np.asarray(tried.column("ok")))
+        i, j, centre = propose(doc, s, pairs, nearest)
+        last = none if tried is not None else centre
+        a, b = doc[np.append(i, last)], doc[np.append(j, last)]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def similarity(x: list[np.ndarray], y: list[np.ndarray]) -> float:
@@ -248,27 +308,61 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     band = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(F.substring("samples", 8 * rows_per_band * i + 1, 8 * rows_per_band)).alias("h")) for i in range(bands)])
     keyed = signature.select("doc", F.explode(band).alias("band"))
-    full = saved(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    # members of buckets of two or more, dealt to blocks of about BLOCK
-    blocks = keyed.join(full, "band").withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(5)), F.ceil(F.col("n") / BLOCK)))
-    blocks = blocks.join(signature, "doc").select("band", "salt", "doc", "samples")
-    kind = "kind string, a long, b long"
-    first = saved(blocks.groupBy("band", "salt").applyInArrow(lambda key, t: _with_band(key, propose(t, False)), kind + ", band struct<i:int,h:long>"))
-    centres = first.where("kind = 'centre'").select("band", F.col("a").alias("doc"))
-    again = saved(centres.join(full.where(F.col("n") > BLOCK), "band").join(signature, "doc").select("band", "doc", "samples"))
-    links = first.where("kind = 'link'").select("a", "b").union(again.groupBy("band").applyInArrow(lambda t: propose(t, True), kind).where("kind = 'link'").select("a", "b")).distinct()
-
-    # each link goes to the smaller id with the other's shingles
-    sent = links.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "b", F.col("shingles").alias("other"))
-    sent = sent.join(sets.withColumnRenamed("doc", "a"), "a")
+    tags, kind = ["level", "band", "salt"], "level int, band struct<i:int,h:long>, salt long, a long, b long"
+
+    def tagged(key, found):
+        level, place, salt = key
+        same = [level.as_py()] * len(found), [place.as_py()] * len(found), [salt.as_py()] * len(found)
+        types = pa.int32(), pa.struct([("i", pa.int32()), ("h", pa.int64())]), pa.int64()
+        return pa.table([*[pa.array(x, t) for x, t in zip(same, types, strict=True)], found.column("a"), found.column("b")], names=[*tags, "a", "b"])
+
+    def further(nearest):
+        return lambda key, t, so_far: tagged(key, propose_block(t, so_far, nearest))
+
+    # buckets of two or more, dealt to blocks of about BLOCK; the centres of a larger bucket's blocks meet on the next level
+    dealt, proposed, met = [], [], keyed
+    for level in range(LEVELS):
+        sizes = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        blocks = met.join(sizes, "band").select(F.lit(level).alias("level"), "band", F.pmod(F.xxhash64("doc", F.lit(5 + level)), F.ceil(F.col("n") / BLOCK)).alias("salt"), "doc", (F.col("n") > BLOCK).alias("large"))
+        blocks = saved(blocks)
+        found = blocks.join(signature, "doc").groupBy(*tags).applyInArrow(lambda key, t: tagged(key, propose_block(t, None, NEAREST)), kind)
+        found = saved(found)
+        dealt.append(blocks.select(*tags, "doc"))
+        proposed.append(found.where("a < b"))
+        met = found.where("a = b").join(blocks.where("large").select("band").distinct(), "band", "left_semi").select(F.col("a").alias("doc"), "band")
+        if met.isEmpty():
+            break
+    dealt, proposed = (functools.reduce(DataFrame.union, x) for x in (dealt, proposed))
 
     def verify(batches):
         for x in batches:
             t = pa.Table.from_batches([x])
             ok = [similarity(unpack(p), unpack(q)) >= threshold for p, q in zip(t.column("shingles").to_pylist(), t.column("other").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": x.column("a"), "b": x.column("b")}).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_pydict({"a": x.column("a"), "b": x.column("b"), "ok": pa.array(ok, pa.bool_())})
+
+    def verified_of(links):
+        """Each link goes to the smaller id with the other's shingles."""
+        sent = links.join(sets.withColumnRenamed("doc", "b"), "b").select("a", "b", F.col("shingles").alias("other"))
+        return sent.join(sets.withColumnRenamed("doc", "a"), "a").mapInArrow(verify, "a long, b long, ok boolean")
+
+    checked = saved(verified_of(proposed.select("a", "b").distinct()))
+    tried = saved(proposed.join(checked, ["a", "b"]).select(*tags, "a", "b", "ok"))
+    # blocks where a proposal failed look for other pairs between their components, ever more at once, until none is left
+    bad, nearest = tried.where("not ok").select(*tags).distinct(), NEAREST
+    while not bad.isEmpty():
+        nearest *= 4
+        members = dealt.join(bad, tags, "left_semi").join(signature, "doc")
+        tried = tried.join(bad, tags, "left_semi")
+        again = members.groupBy(*tags).cogroup(tried.groupBy(*tags)).applyInArrow(further(nearest), kind)
+        again = saved(again)
+        if again.isEmpty():
+            break
+        checked = saved(checked.union(verified_of(again.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))))
+        answered = saved(again.join(checked, ["a", "b"]).select(*tags, "a", "b", "ok"))
+        bad = answered.where("not ok").select(*tags).distinct()
+        tried = tried.union(answered)
 
-    verified = saved(sent.mapInArrow(verify, "a long, b long"))
+    verified = checked.where("ok").select("a", "b")
     root = components(verified)
     degree = verified.select(F.col("a").alias("doc")).union(verified.select("b")).groupBy("doc").agg(F.count("*").alias("n_links"))
     out = member.join(root.withColumnRenamed("doc", "head"), "head", "left").join(degree.withColumnRenamed("doc", "head"), "head", "left")
@@ -277,6 +371,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     everyone = docs.select("doc").distinct().join(out, "doc", "left")
     return everyone.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-
-def _with_band(key, table: pa.Table) -> pa.Table:
-    return table.append_column("band", pa.array([key[0].as_py()] * len(table), pa.struct([("i", pa.int32()), ("h", pa.int64())])))

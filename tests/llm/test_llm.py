@@ -153,6 +153,46 @@ def test_near_duplicate_blocks_meet_again(spark, monkeypatch):
     assert got == {0}
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_duplicates_linked_only_to_distant_partners_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):  # a chain: each changes a little of the one before
+        base = list(base)
+        for _ in range(2 + k % 5):
+            base[rng.randrange(300)] = f"c{rng.randrange(10_000)}"
+        rows.append((k, " ".join(base), "x"))
+    order = rows[::3] + rows[1::3] + rows[2::3]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(order, SCHEMA)).collect()}
+    assert got == jaccard_classes(rows)
+
+
+def test_proposals_connect_all_candidates_and_go_on_where_one_fails():
+    rng = np.random.default_rng(1)
+    for n in (2, 9, 70):
+        centre = rng.integers(0, 2**60, (3, 64)).astype(np.uint64)
+        s = centre[rng.integers(0, 3, n)]
+        noise = rng.random(s.shape) < 0.2
+        s = np.where(noise, rng.integers(0, 2**60, s.shape).astype(np.uint64), s)
+        w = neardup.agreement(s)
+        linked = {(i, j) for i, j in itertools.combinations(range(n), 2) if w[i, j] >= neardup.AGREE}
+        good = {p for p in linked if rng.random() < 0.3}
+        tried, nearest = {}, neardup.NEAREST
+        while True:
+            a, b = (np.array([p[x] for p in tried], np.int64) for x in (0, 1))
+            i, j, _ = neardup.propose(np.arange(n), s, (a, b, np.array(list(tried.values()), bool)), nearest)
+            new = set(zip(i.tolist(), j.tolist(), strict=True))
+            assert not new & set(tried) and new <= linked
+            if not new:
+                break
+            tried |= {p: p in good for p in new}
+            nearest *= 4
+        label = lambda ps: neardup.joined(np.arange(n), *(np.array([p[x] for p in ps], np.int64) for x in (0, 1))).tolist()
+        assert label([p for p in tried if tried[p]]) == label(good)
+
+
 def test_quality_rules_equal_brute_force(spark):
     rows = corpus(5) + [(2000, "the of and to is " * 3 + " ".join(f"word{k}" for k in range(60)), None), (2001, "# ## ### " * 40, None), (2002, "line a\nline a\n\nline b\nline a", None), (2003, "x y z x y z x y", None)]
     out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
