@@ -5,7 +5,7 @@
 3. A document can only reach the similarity if such shingles make up that share of its own weight; only then is it sampled.
    Documents with the same weighted shingles form a class at once, and one of them stands for it.
 4. Representatives that agree in a band propose links to those that agree with them in most samples, as many as connect all
-   candidates. Buckets are cut in blocks; a centre of each component of a block meets those of the bucket's other blocks.
+   candidates. Buckets are cut in blocks, which share the bucket's hub; a centre of each component of a block meets those of the others.
 5. Proposed links are verified on the weighted shingles. Where one fails, its block proposes further pairs between what is
    not connected yet, until no candidate pair is left. Connected components of verified links are the classes.
 """
@@ -32,6 +32,8 @@ BLOCK = 1024
 NEAREST = 2
 #: Share of samples in which candidates agree: at a similarity of 0.8 one pair in 100,000 agrees in less.
 AGREE = 0.58
+#: The same for the further pairs of blocks where a proposal failed: of pairs at a similarity of 0.8, 3 in 100 agree in less.
+AGREE_AGAIN = 0.7
 #: Most levels on which blocks' centres meet again.
 LEVELS = 8
 #: (element, sample) pairs that are drawn at once.
@@ -134,6 +136,7 @@ def _blocks(first: np.ndarray, step: int):
         a = z
 
 
+BAND = pa.struct([("i", pa.int32()), ("h", pa.int64())])
 SIGNED = pa.schema([("doc", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("samples", pa.binary()), ("shingles", pa.binary())])
 
 
@@ -194,21 +197,23 @@ def propose(doc: np.ndarray, s: np.ndarray, tried: tuple[np.ndarray, np.ndarray,
     """Links to verify among the documents of a block, as places i and j, and a centre of each component that they make.
 
     tried: places i and j, and whether the pair was verified. Each document proposes its `nearest` partners by samples that are
-    not yet in its component; and while a candidate pair is left between two components, the best such pair of each. So if all
+    not yet in its component, at first also the block's hub, which agrees with the others most; and while a candidate pair is left between two components, the best such pair of each. So if all
     proposals are verified, the components are those of all candidate pairs, and blocks with a failure are asked again.
     """
     n = len(doc)
     a, b, ok = tried
     label = joined(np.arange(n), a[ok], b[ok])
     w = agreement(s)
+    hub = int(w.sum(1).argmax())
     w[a[~ok], b[~ok]] = w[b[~ok], a[~ok]] = -1
-    w[(w < AGREE) | (label[:, None] == label[None])] = -1
+    w[(w < (AGREE_AGAIN if len(a) else AGREE)) | (label[:, None] == label[None])] = -1
+    star = np.flatnonzero(w[hub] >= 0) if not len(a) else np.zeros(0, np.int64)
     k = min(nearest, n - 1)
     near = np.argpartition(-w, k - 1, axis=1)[:, :k] if k else np.zeros((n, 0), np.int64)
     i = np.repeat(np.arange(n), k)
     j = near.ravel()
     keep = w[i, j] >= 0
-    i, j = i[keep], j[keep]
+    i, j = np.append(i[keep], star), np.append(j[keep], np.full(len(star), hub))
     label = joined(label, i, j)
     while True:
         w[label[:, None] == label[None]] = -1
@@ -228,15 +233,24 @@ def propose(doc: np.ndarray, s: np.ndarray, tried: tuple[np.ndarray, np.ndarray,
     return pair // n, pair % n, order[np.unique(label[order], return_index=True)[1]]
 
 
+def hub_of(table: pa.Table) -> int:
+    """The document of a block that holds the commonest samples."""
+    doc, order = np.unique(np.asarray(table.column("doc")), return_index=True)
+    s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)[order]
+    votes = np.zeros(len(doc), np.int64)
+    for j in range(s.shape[1]):
+        _, inverse, many = np.unique(s[:, j], return_inverse=True, return_counts=True)
+        votes += many[inverse]
+    return int(doc[votes.argmax()])
+
+
 def propose_block(table: pa.Table, tried: pa.Table | None, nearest: int) -> pa.Table:
     """propose() on a block's rows: links (a < b) and, the first time, centres (a = b). tried: its pairs so far."""
-    doc = np.asarray(table.column("doc"))
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
+    doc, order = np.unique(np.asarray(table.column("doc")), return_index=True)
     if len(doc) == 1:
         a = b = doc
     else:
-        s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(doc), -1)[order]
+        s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)[order]
         none = np.zeros(0, np.int64)
         pairs = (none, none, np.zeros(0, bool)) if tried is None else (np.searchsorted(doc, np.asarray(tried.column("a"))), np.searchsorted(doc, np.asarray(tried.column("b"))), np.asarray(tried.column("ok")))
         i, j, centre = propose(doc, s, pairs, nearest)
@@ -313,23 +327,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def tagged(key, found):
         level, place, salt = key
         same = [level.as_py()] * len(found), [place.as_py()] * len(found), [salt.as_py()] * len(found)
-        types = pa.int32(), pa.struct([("i", pa.int32()), ("h", pa.int64())]), pa.int64()
+        types = pa.int32(), BAND, pa.int64()
         return pa.table([*[pa.array(x, t) for x, t in zip(same, types, strict=True)], found.column("a"), found.column("b")], names=[*tags, "a", "b"])
 
     def further(nearest):
         return lambda key, t, so_far: tagged(key, propose_block(t, so_far, nearest))
 
-    # buckets of two or more, dealt to blocks of about BLOCK; the centres of a larger bucket's blocks meet on the next level
-    dealt, proposed, met = [], [], keyed
+    def dealt_to_blocks(rows, level):
+        """Rows of buckets of two or more, in blocks of about BLOCK."""
+        sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+        many = F.ceil(F.col("n") / BLOCK)
+        return saved(rows.join(sizes, "band").select(F.lit(level).alias("level"), "band", F.pmod(F.xxhash64("doc", F.lit(5 + level)), many).alias("salt"), "doc", many.alias("blocks")))
+
+    # the hub of a large bucket is found block by block, and is then in each of its blocks
+    blocks = dealt_to_blocks(keyed, 0)
+    large = saved(blocks.where("blocks > 1").select("band", "blocks").distinct())
+    hubs, left = [], large
+    found = blocks.where("blocks > 1")
+    while not left.isEmpty():
+        best = found.join(signature, "doc").groupBy("band", "salt", "blocks").applyInArrow(lambda key, t: pa.table({"band": pa.array([key[0].as_py()], BAND), "blocks": pa.array([key[2].as_py()], pa.int64()), "doc": pa.array([hub_of(t)], pa.int64())}), "band struct<i:int,h:long>, blocks long, doc long")
+        best = saved(best)
+        hubs.append(best.where("blocks = 1").select("band", "doc"))
+        left = best.where("blocks > 1")
+        found = dealt_to_blocks(left.select("band", "doc"), len(hubs))
+    if hubs:
+        everywhere = functools.reduce(DataFrame.union, hubs).join(large, "band").select(F.lit(0).alias("level"), "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), "doc", "blocks")
+        blocks = saved(blocks.union(everywhere))
+
+    # the centres of a large bucket's blocks meet on the next level
+    dealt, proposed = [], []
     for level in range(LEVELS):
-        sizes = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-        blocks = met.join(sizes, "band").select(F.lit(level).alias("level"), "band", F.pmod(F.xxhash64("doc", F.lit(5 + level)), F.ceil(F.col("n") / BLOCK)).alias("salt"), "doc", (F.col("n") > BLOCK).alias("large"))
-        blocks = saved(blocks)
+        blocks = dealt_to_blocks(met, level) if level else blocks
         found = blocks.join(signature, "doc").groupBy(*tags).applyInArrow(lambda key, t: tagged(key, propose_block(t, None, NEAREST)), kind)
         found = saved(found)
         dealt.append(blocks.select(*tags, "doc"))
         proposed.append(found.where("a < b"))
-        met = found.where("a = b").join(blocks.where("large").select("band").distinct(), "band", "left_semi").select(F.col("a").alias("doc"), "band")
+        met = found.where("a = b").join(blocks.where("blocks > 1").select("band").distinct(), "band", "left_semi").select(F.col("a").alias("doc"), "band")
         if met.isEmpty():
             break
     dealt, proposed = (functools.reduce(DataFrame.union, x) for x in (dealt, proposed))
