@@ -6,8 +6,8 @@
    Documents with the same weighted shingles form a class at once, and one of them stands for it.
 4. Representatives that agree in a band propose links to those that agree with them in most samples, as many as connect all
    candidates. Buckets are cut in blocks, which share the bucket's hub; a centre of each component of a block meets those of the others.
-5. Proposed links are verified on the weighted shingles. Where one fails, its block proposes further pairs between what is
-   not connected yet, until no candidate pair is left. Connected components of verified links are the classes.
+5. Proposed links are verified on the weighted shingles. Where one fails, its block verifies all its candidate pairs
+   between what is not connected yet. Connected components of verified links are the classes.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ BLOCK = 1024
 NEAREST = 2
 #: Share of samples in which candidates agree: at a similarity of 0.8 one pair in 100,000 agrees in less.
 AGREE = 0.58
-#: The same for the further pairs of blocks where a proposal failed: of pairs at a similarity of 0.8, 3 in 100 agree in less.
-AGREE_AGAIN = 0.7
 #: Most levels on which blocks' centres meet again.
 LEVELS = 8
 #: (element, sample) pairs that are drawn at once.
@@ -193,25 +191,21 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def propose(doc: np.ndarray, s: np.ndarray, tried: tuple[np.ndarray, np.ndarray, np.ndarray], nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def propose(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links to verify among the documents of a block, as places i and j, and a centre of each component that they make.
 
-    tried: places i and j, and whether the pair was verified. Each document proposes its `nearest` partners by samples that are
-    not yet in its component, at first also the block's hub, which agrees with the others most; and while a candidate pair is left between two components, the best such pair of each. So if all
-    proposals are verified, the components are those of all candidate pairs, and blocks with a failure are asked again.
+    Each document proposes its nearest partners by samples and the block's hub, which agrees with the others most; and while a
+    candidate pair is left between two components, the best such pair of each. So if all proposals are verified, the components
+    are those of all candidate pairs.
     """
-    n = len(doc)
-    a, b, ok = tried
-    label = joined(np.arange(n), a[ok], b[ok])
+    n = len(s)
+    label = np.arange(n)
     w = agreement(s)
     hub = int(w.sum(1).argmax())
-    w[a[~ok], b[~ok]] = w[b[~ok], a[~ok]] = -1
-    w[(w < (AGREE_AGAIN if len(a) else AGREE)) | (label[:, None] == label[None])] = -1
-    star = np.flatnonzero(w[hub] >= 0) if not len(a) else np.zeros(0, np.int64)
-    k = min(nearest, n - 1)
-    near = np.argpartition(-w, k - 1, axis=1)[:, :k] if k else np.zeros((n, 0), np.int64)
-    i = np.repeat(np.arange(n), k)
-    j = near.ravel()
+    w[(w < AGREE) | (label[:, None] == label[None])] = -1
+    star = np.flatnonzero(w[hub] >= 0)
+    k = min(NEAREST, n - 1)
+    i, j = np.repeat(np.arange(n), k), np.argpartition(-w, k - 1, axis=1)[:, :k].ravel()
     keep = w[i, j] >= 0
     i, j = np.append(i[keep], star), np.append(j[keep], np.full(len(star), hub))
     label = joined(label, i, j)
@@ -244,21 +238,42 @@ def hub_of(table: pa.Table) -> int:
     return int(doc[votes.argmax()])
 
 
-def propose_block(table: pa.Table, tried: pa.Table | None, nearest: int) -> pa.Table:
-    """propose() on a block's rows: links (a < b) and, the first time, centres (a = b). tried: its pairs so far."""
+def propose_block(table: pa.Table) -> pa.Table:
+    """propose() on a block's rows: links (a < b) and centres (a = b)."""
     doc, order = np.unique(np.asarray(table.column("doc")), return_index=True)
-    if len(doc) == 1:
-        a = b = doc
-    else:
-        s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)[order]
-        none = np.zeros(0, np.int64)
-        pairs = (none, none, np.zeros(0, bool)) if tried is None else (np.searchsorted(doc, np.asarray(tried.column("a"))), np.searchsorted(doc, np.asarray(tried.column("b"))), np.asarray(tried.column("ok")))
-        i, j, centre = propose(doc, s, pairs, nearest)
-        last = none if tried is not None else centre
-        a, b = doc[np.append(i, last)], doc[np.append(j, last)]
+    a = b = doc
+    if len(doc) > 1:
+        i, j, centre = propose(np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)[order])
+        a, b = doc[np.append(i, centre)], doc[np.append(j, centre)]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def settle_block(table: pa.Table, threshold: float) -> pa.Table:
+    """Links between the classes (root) of a block's documents: of all candidate pairs, those that reach the threshold and join two classes."""
+    doc, order = np.unique(np.asarray(table.column("doc")), return_index=True)
+    w = agreement(np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)[order])
+    _, head, label = np.unique(np.asarray(table.column("root"))[order], return_index=True, return_inverse=True)
+    label = head[label]
+    i, j = np.nonzero(np.triu((w >= AGREE) & (label[:, None] != label[None]), 1))
+    best = np.argsort(-w[i, j], kind="stable")
+    shingles, sets, links, parent = table.column("shingles"), {}, [], label.tolist()
+    for x, y in zip(i[best].tolist(), j[best].tolist(), strict=True):
+        p, q = x, y
+        while parent[p] != p:
+            p = parent[p]
+        while parent[q] != q:
+            q = parent[q]
+        if p == q:
+            continue
+        for d in (x, y):
+            if d not in sets:
+                sets[d] = unpack(shingles[int(order[d])].as_py())
+        if similarity(sets[x], sets[y]) >= threshold:
+            parent[max(p, q)] = min(p, q)
+            links.append((int(doc[x]), int(doc[y])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
 def similarity(x: list[np.ndarray], y: list[np.ndarray]) -> float:
     """Weighted Jaccard similarity of two shingle lists (hash, weight)."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -330,9 +345,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         types = pa.int32(), BAND, pa.int64()
         return pa.table([*[pa.array(x, t) for x, t in zip(same, types, strict=True)], found.column("a"), found.column("b")], names=[*tags, "a", "b"])
 
-    def further(nearest):
-        return lambda key, t, so_far: tagged(key, propose_block(t, so_far, nearest))
-
     def dealt_to_blocks(rows, level):
         """Rows of buckets of two or more, in blocks of about BLOCK."""
         sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -358,7 +370,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt, proposed = [], []
     for level in range(LEVELS):
         blocks = dealt_to_blocks(met, level) if level else blocks
-        found = blocks.join(signature, "doc").groupBy(*tags).applyInArrow(lambda key, t: tagged(key, propose_block(t, None, NEAREST)), kind)
+        found = blocks.join(signature, "doc").groupBy(*tags).applyInArrow(lambda key, t: tagged(key, propose_block(t)), kind)
         found = saved(found)
         dealt.append(blocks.select(*tags, "doc"))
         proposed.append(found.where("a < b"))
@@ -380,23 +392,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     checked = saved(verified_of(proposed.select("a", "b").distinct()))
     tried = saved(proposed.join(checked, ["a", "b"]).select(*tags, "a", "b", "ok"))
-    # blocks where a proposal failed look for other pairs between their components, ever more at once, until none is left
-    bad, nearest = tried.where("not ok").select(*tags).distinct(), NEAREST
-    while not bad.isEmpty():
-        nearest *= 4
-        members = dealt.join(bad, tags, "left_semi").join(signature, "doc")
-        tried = tried.join(bad, tags, "left_semi")
-        again = members.groupBy(*tags).cogroup(tried.groupBy(*tags)).applyInArrow(further(nearest), kind)
-        again = saved(again)
-        if again.isEmpty():
-            break
-        checked = saved(checked.union(verified_of(again.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"))))
-        answered = saved(again.join(checked, ["a", "b"]).select(*tags, "a", "b", "ok"))
-        bad = answered.where("not ok").select(*tags).distinct()
-        tried = tried.union(answered)
-
-    verified = checked.where("ok").select("a", "b")
-    root = components(verified)
+    # blocks where a proposal between two classes failed verify all their candidates between classes, and return what holds
+    first = checked.where("ok").select("a", "b")
+    root = components(first)
+    ends = tried.where("not ok").join(root.select(F.col("doc").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("doc").alias("b"), F.col("root").alias("rb")), "b", "left")
+    bad = ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*tags).distinct()
+    members = dealt.join(bad, tags, "left_semi").join(heads.select("doc", "samples", "shingles"), "doc").join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    more = saved(members.groupBy(*tags).applyInArrow(lambda t: settle_block(t, threshold), "a long, b long"))
+    verified = first
+    if not more.isEmpty():
+        verified = saved(first.union(more).distinct())
+        root = components(verified)
     degree = verified.select(F.col("a").alias("doc")).union(verified.select("b")).groupBy("doc").agg(F.count("*").alias("n_links"))
     out = member.join(root.withColumnRenamed("doc", "head"), "head", "left").join(degree.withColumnRenamed("doc", "head"), "head", "left")
     out = out.groupBy("doc").agg(F.min(F.coalesce("root", "head")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

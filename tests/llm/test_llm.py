@@ -169,29 +169,31 @@ def test_near_duplicates_linked_only_to_distant_partners_meet(spark, monkeypatch
     assert got == jaccard_classes(rows)
 
 
-def test_proposals_connect_all_candidates_and_go_on_where_one_fails():
+def test_proposals_connect_all_candidates():
     rng = np.random.default_rng(1)
     for n in (2, 9, 70):
         centre = rng.integers(0, 2**60, (3, 64)).astype(np.uint64)
         s = centre[rng.integers(0, 3, n)]
-        noise = rng.random(s.shape) < 0.2
-        s = np.where(noise, rng.integers(0, 2**60, s.shape).astype(np.uint64), s)
+        s = np.where(rng.random(s.shape) < 0.2, rng.integers(0, 2**60, s.shape).astype(np.uint64), s)
         w = neardup.agreement(s)
-        linked = {(i, j) for i, j in itertools.combinations(range(n), 2) if w[i, j] >= neardup.AGREE}
-        sure = {(i, j) for i, j in linked if w[i, j] >= neardup.AGREE_AGAIN}
-        good = {p for p in linked if rng.random() < 0.3}
-        tried, nearest = {}, neardup.NEAREST
-        while True:
-            a, b = (np.array([p[x] for p in tried], np.int64) for x in (0, 1))
-            i, j, _ = neardup.propose(np.arange(n), s, (a, b, np.array(list(tried.values()), bool)), nearest)
-            new = set(zip(i.tolist(), j.tolist(), strict=True))
-            assert not new & set(tried) and new <= linked
-            if not new:
-                break
-            tried |= {p: p in good for p in new}
-            nearest *= 4
-        label = lambda ps: neardup.joined(np.arange(n), *(np.array([p[x] for p in ps], np.int64) for x in (0, 1))).tolist()
-        assert label([p for p in tried if tried[p]]) == label({p for p in tried if tried[p]} | (good & sure))
+        i, j = np.nonzero(np.triu(w >= neardup.AGREE, 1))
+        a, b, _ = neardup.propose(s)
+        assert neardup.joined(np.arange(n), a, b).tolist() == neardup.joined(np.arange(n), i, j).tolist()
+
+
+def test_blocks_are_settled_as_by_all_pairs():
+    rng = np.random.default_rng(2)
+    import pyarrow as pa
+
+    base = np.arange(1, 101).astype(np.uint64)
+    sets = [np.sort(np.where(rng.random(100) < 0.11, rng.integers(1000, 2**40, 100).astype(np.uint64), base)) for _ in range(40)]
+    ones = np.ones(100, np.uint64)
+    rows = [{"doc": i, "samples": np.arange(64).astype(np.uint64).tobytes(), "shingles": neardup.pack(g, ones), "root": i - i % 2} for i, g in enumerate(sets)]
+    out = neardup.settle_block(pa.Table.from_pylist(rows), 0.8)
+    ok = [(i, j) for i, j in itertools.combinations(range(40), 2) if neardup.similarity([sets[i], ones], [sets[j], ones]) >= 0.8]
+    start = np.arange(40) // 2 * 2
+    label = lambda ps: neardup.joined(start.copy(), *(np.array([p[x] for p in ps], np.int64) for x in (0, 1))).tolist()
+    assert label(list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))) == label(ok)
 
 
 def test_quality_rules_equal_brute_force(spark):
