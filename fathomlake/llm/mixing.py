@@ -34,7 +34,7 @@ def word_buckets(text: Column, buckets: int) -> Column:
 def signs(text: Column, words: Column, buckets: int) -> Column:
     """A feature for each of SIGNS and one for the share of different words, numbered from buckets on."""
     t = F.coalesce(text, F.lit(""))
-    share = [(F.length(t) - F.length(F.translate(t, chars, ""))) * 20 / F.greatest(F.length(t), F.lit(1)) for chars in SIGNS]
+    share = [F.regexp_count(t, F.lit("[" + "".join(c if c.isalnum() else "\\" + c for c in chars) + "]")) * 20 / F.greatest(F.length(t), F.lit(1)) for chars in SIGNS]
     share.append(F.size(F.array_distinct(words)) * LEVELS / F.greatest(F.size(words), F.lit(1)))
     return F.array(*[F.least(F.floor(x), F.lit(LEVELS - 1)).cast("int") + (buckets + i * LEVELS) for i, x in enumerate(share)])
 
