@@ -266,6 +266,19 @@ def test_mixing_meets_targets(spark):
     assert mixing.mixing_rates(docs.limit(0), known, targets).collect() == []
 
 
+def test_mixing_rare_domain_draws_few(spark):
+    """With two labelled documents of a domain, rare words alone don't put the rest in it."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(50, 400)))) for i in range(200)]
+    labels = [(i, 0 if i in (3, 6) else 1, 0) for i in range(0, 200, 3)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = mixing.mixing_rates(docs, known, {"clean": 0.95, "junk": 0.05}).collect()
+    tokens = sum(r["n_tokens"] for r in out)
+    assert sum(r["n_tokens"] * r["posteriors"]["junk"] for r in out) < 0.3 * tokens
+    assert sum(r["n_tokens"] * r["rate"] for r in out) < 2 * tokens
+
+
 def test_packing(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(["w"] * rng.randint(0, 3000))) for i in range(300)] + [(900, " ".join(["w"] * 10_000)), (901, None), (901, "a b"), (901, "a b")]
