@@ -24,9 +24,12 @@ SIGNS = ("#*$%&", "!", "|", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
 LEVELS = 5
 #: Documents' worth of the pooled frequency that each domain's frequencies are shrunk by, so that a rare domain does not draw every rare word.
 SMOOTHING = 8.0
-#: Least G statistic of a word bucket between two domains: chance reaches it once in 1,000 buckets.
+#: Least G statistic of a word bucket between a domain and the others: chance reaches it once in 1,000 buckets.
 EVIDENCE = 10.83
 
+#: Log odds of a domain that no labelled document shows: its posteriors are 0.
+UNKNOWN = -1e6
+
 
 def word_buckets(text: Column, buckets: int) -> Column:
     """The words, hashed to 0 .. buckets - 1."""
@@ -59,9 +62,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id
     everyone = sum(documents.values())
     pooled = {f: (sum(counts.get((d, f), 0) for d in domains) + 0.5) / (everyone + 1.0) for f in features}
     present = lambda d, f: (counts.get((d, f), 0) + SMOOTHING * pooled[f]) / (documents.get(d, 0) + SMOOTHING)
-    prior = [math.log((documents.get(d, 0) + 1) / (documents.get(domains[0], 0) + 1)) for d in domains]
+    absent = [UNKNOWN if documents and not documents.get(d) else 0.0 for d in domains]
+    prior = [math.log((documents.get(d, 0) + 1) / (documents.get(domains[0], 0) + 1)) + a - absent[0] for d, a in zip(domains, absent, strict=True)]
     odds = {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in features}
-    evidence = {f: max([0.0, *(g_statistic(counts.get((d, f), 0), documents.get(d, 0), counts.get((domains[0], f), 0), documents.get(domains[0], 0)) for d in domains[1:])]) for f in range(buckets)}
+    held = lambda f: sum(counts.get((d, f), 0) for d in domains)
+    evidence = {f: max(g_statistic(counts.get((d, f), 0), documents.get(d, 0), held(f) - counts.get((d, f), 0), everyone - documents.get(d, 0)) for d in domains) for f in range(buckets)}
     best = sorted((f for f in evidence if evidence[f] >= EVIDENCE), key=lambda f: (-evidence[f], f))[:informative]
     return prior, {f: odds[f] for f in [*sorted(best), *features[buckets:]]}
 
@@ -155,7 +160,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """Every row of docs with n_tokens (words), posteriors (a map by domain), rate (>= 0) and copies.
 
     The rates make the expected tokens of each domain meet its target share. With keep_all the total is as large as it must
-    be for no domain to shrink, else it is the present total. copies rounds the rate up or down by a hash of the id, so that
+    be for no domain to shrink, else it is the present total. A domain that no labelled document in docs shows has
+    posteriors of 0 and takes no part: the others share its target. copies rounds the rate up or down by a hash of the id, so that
     its mean is the rate; with keep_all it is at least 1. Labels only count for ids in docs; max_fit_rows of them are
     used. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
     an empty table gives an empty result; input columns named like a new one are replaced.
@@ -166,8 +172,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     slim = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
     scored = saved(with_posteriors(slim, prior, table, text_col="__text", buckets=buckets, prefix=p).drop("__text"))
     have = scored.agg(*[F.sum(F.col(p + "n") * F.col(f"{p}{i}")).alias(f"t{i}") for i in range(len(domains))]).first()
-    share = [targets[d] / sum(targets.values()) for d in domains]
     now = [have[f"t{i}"] or 0.0 for i in range(len(domains))]
+    reached = [targets[d] if t > 0 else 0.0 for d, t in zip(domains, now, strict=True)]
+    share = [x / (sum(reached) or 1.0) for x in reached]
     total = max((t / s for t, s in zip(now, share, strict=True) if s > 0), default=0.0) if keep_all else sum(now)
     v = fit_rates(scored, [total * s for s in share], p)
     rated = scored.dropDuplicates(["__id", "__key"]).select("__id", "__key", F.col(p + "n").alias("n_tokens"), F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"{p}{i}"))]).alias("posteriors"), rate(p, v).alias("rate"))

@@ -279,6 +279,20 @@ def test_mixing_rare_domain_draws_few(spark):
     assert sum(r["n_tokens"] * r["rate"] for r in out) < 2 * tokens
 
 
+@pytest.mark.parametrize("absent", ["clean", "junk"])
+def test_mixing_without_a_domains_labels(spark, absent):
+    """A domain without labels takes no part; also where it is the first."""
+    rows = [(i, " ".join(["x", "y"] if i % 2 else ["z", "u", "v"])) for i in range(60)]
+    quality, toxic = (0, 1) if absent == "clean" else (1, 1)
+    labels = [(i, quality, 0 if i % 2 else toxic) for i in range(60)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = mixing.mixing_rates(docs, known, {"clean": 0.4, "junk": 0.2, "toxic": 0.4}).collect()
+    assert max(r["posteriors"][absent] for r in out) == 0
+    total = sum(r["rate"] * r["n_tokens"] for r in out)
+    share = 0.4 / (0.6 if absent == "clean" else 0.8)
+    assert abs(sum(r["rate"] * r["n_tokens"] * r["posteriors"]["toxic"] for r in out) / total - share) < 1e-3
+
+
 def test_packing(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(["w"] * rng.randint(0, 3000))) for i in range(300)] + [(900, " ".join(["w"] * 10_000)), (901, None), (901, "a b"), (901, "a b")]
