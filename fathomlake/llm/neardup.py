@@ -7,7 +7,8 @@
 4. Representatives that agree in a band propose links to those that agree with them in most samples, as many as connect all
    candidates. Buckets are cut in blocks, which share the bucket's hub; a centre of each component of a block meets those of the others.
 5. Proposed links are verified on the weighted shingles. Where one fails, its block verifies all its candidate pairs
-   between what is not connected yet. Connected components of verified links are the classes.
+   between what is not connected yet. Then the blocks of a bucket that was cut meet two by two, until each of its candidate
+   pairs is connected or verified. Connected components of verified links are the classes.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ BLOCK = 1024
 NEAREST = 2
 #: Share of samples in which candidates agree: at a similarity of 0.8 one pair in 100,000 agrees in less.
 AGREE = 0.58
-#: Most levels on which blocks' centres meet again.
+#: Most levels on which blocks' centres meet again. What they leave apart is compared when blocks meet.
 LEVELS = 8
+#: Representatives of a large bucket in each of two blocks that meet.
+MEET = 2048
 #: (element, sample) pairs that are drawn at once.
 STEP = 1 << 19
 
@@ -255,8 +258,13 @@ def settle_block(table: pa.Table, threshold: float) -> pa.Table:
     _, head, label = np.unique(np.asarray(table.column("root"))[order], return_index=True, return_inverse=True)
     label = head[label]
     i, j = np.nonzero(np.triu((w >= AGREE) & (label[:, None] != label[None]), 1))
-    best = np.argsort(-w[i, j], kind="stable")
-    shingles, sets, links, parent = table.column("shingles"), {}, [], label.tolist()
+    return settled(doc, table.column("shingles").take(pa.array(order)), label, i, j, w[i, j], threshold)
+
+
+def settled(doc: np.ndarray, shingles: pa.ChunkedArray, label: np.ndarray, i: np.ndarray, j: np.ndarray, agree: np.ndarray, threshold: float) -> pa.Table:
+    """Of the pairs i, j (places), those that reach the threshold and join two classes; label is the place of a class's first document."""
+    best = np.argsort(-agree, kind="stable")
+    sets, links, parent = {}, [], label.tolist()
     for x, y in zip(i[best].tolist(), j[best].tolist(), strict=True):
         p, q = x, y
         while parent[p] != p:
@@ -267,13 +275,63 @@ def settle_block(table: pa.Table, threshold: float) -> pa.Table:
             continue
         for d in (x, y):
             if d not in sets:
-                sets[d] = unpack(shingles[int(order[d])].as_py())
+                sets[d] = unpack(shingles[d].as_py())
         if similarity(sets[x], sets[y]) >= threshold:
             parent[max(p, q)] = min(p, q)
             links.append((int(doc[x]), int(doc[y])))
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def meeting(table: pa.Table, band: int, rows_per_band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and agreement of the candidate pairs of different classes (root) between the sides 0 and 1 of two blocks that meet
+    in a band, or inside side 0 alone. Pairs that share an earlier band are left to that."""
+    s = np.frombuffer(b"".join(table.column("samples").to_pylist()), U64).reshape(len(table), -1)
+    side, root = np.asarray(table.column("side")), np.asarray(table.column("root"))
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(q)
+    q = p if alone else q
+    same = np.zeros((len(p), len(q)), np.uint16)
+    for k in range(s.shape[1]):
+        _, v = np.unique(s[:, k], return_inverse=True)
+        v = v.astype(np.uint16)
+        same += v[p][:, None] == v[q][None]
+    can = (same >= AGREE * s.shape[1]) & (root[p][:, None] != root[q][None])
+    i, j = np.nonzero(np.triu(can, 1) if alone else can)
+    keep = np.ones(len(i), bool)
+    for a in range(0, len(i) if band else 0, 1 << 16):
+        z = slice(a, a + (1 << 16))
+        equal = s[p[i[z]], : band * rows_per_band] == s[q[j[z]], : band * rows_per_band]
+        keep[z] = ~equal.reshape(len(equal), band, rows_per_band).all(2).any(1)
+    i, j = i[keep], j[keep]
+    return p[i], q[j], same[i, j] / s.shape[1]
+
+
+def settle_meeting(table: pa.Table, band: int, rows_per_band: int, threshold: float) -> pa.Table:
+    """Links between the classes of two blocks that meet: of all candidate pairs, those that reach the threshold and join two classes."""
+    i, j, agree = meeting(table, band, rows_per_band)
+    _, head, label = np.unique(np.asarray(table.column("root")), return_index=True, return_inverse=True)
+    return settled(np.asarray(table.column("doc")), table.column("shingles"), head[label], i, j, agree, threshold)
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """Rows (band, doc, root), dealt to blocks of about MEET, by the pairs of blocks that must meet: band, pair, side, doc, root.
+
+    A class of over half a block in a bucket has blocks of its own, which need not meet each other; the others share blocks.
+    """
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    own = F.col("n") > MEET // 2
+    unit = F.struct(own.alias("own"), F.when(own, F.col("root")).otherwise(F.lit(0)).alias("of"))
+    sizes = saved(sizes.select("band", "root", unit.alias("unit"), "n"))
+    parts = sizes.groupBy("band", "unit").agg(F.ceil(F.sum("n") / MEET).alias("parts"))
+    blocks = saved(parts.select("band", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("band", F.struct("unit", "part").alias("p")))
+    apart = (F.col("p") <= F.col("q")) & ~(F.col("p.unit.own") & (F.col("p.unit") == F.col("q.unit")))
+    pairs = saved(blocks.join(blocks.withColumnRenamed("p", "q"), "band").where(apart))
+    ends = pairs.select("band", F.col("p").alias("block"), F.struct("p", "q").alias("pair"), F.lit(0).alias("side")).union(pairs.where("p <> q").select("band", F.col("q").alias("block"), F.struct("p", "q").alias("pair"), F.lit(1).alias("side")))
+    dealt = members.join(sizes, ["band", "root"]).join(parts, ["band", "unit"])
+    dealt = dealt.select("band", F.struct("unit", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).alias("part")).alias("block"), "doc", "root")
+    return dealt.join(ends, ["band", "block"]).select("band", F.xxhash64("pair").alias("pair"), "side", "doc", "root")
+
+
 def similarity(x: list[np.ndarray], y: list[np.ndarray]) -> float:
     """Weighted Jaccard similarity of two shingle lists (hash, weight)."""
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -392,17 +450,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     checked = saved(verified_of(proposed.select("a", "b").distinct()))
     tried = saved(proposed.join(checked, ["a", "b"]).select(*tags, "a", "b", "ok"))
-    # blocks where a proposal between two classes failed verify all their candidates between classes, and return what holds
+    # blocks of whole buckets where a proposal between two classes failed verify all their candidates between classes, and return what holds
     first = checked.where("ok").select("a", "b")
     root = components(first)
     ends = tried.where("not ok").join(root.select(F.col("doc").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("doc").alias("b"), F.col("root").alias("rb")), "b", "left")
-    bad = ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*tags).distinct()
+    bad = ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*tags).distinct().join(large.select("band"), "band", "left_anti")
     members = dealt.join(bad, tags, "left_semi").join(heads.select("doc", "samples", "shingles"), "doc").join(root, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     more = saved(members.groupBy(*tags).applyInArrow(lambda t: settle_block(t, threshold), "a long, b long"))
     verified = first
     if not more.isEmpty():
         verified = saved(first.union(more).distinct())
         root = components(verified)
+    # what is not connected yet in large buckets: their blocks meet two by two, first by samples, then candidates with their shingles
+    if hubs:
+        place = "band struct<i:int,h:long>, pair long"
+        apart = keyed.join(large.select("band"), "band", "left_semi").join(root, "doc", "left").select("band", "doc", F.coalesce("root", "doc").alias("root"))
+        met = meetings(saved(apart))
+
+        def candidates(key, t):
+            i, j, _ = meeting(t, key[0].as_py()["i"], rows_per_band)
+            t = t.take(pa.array(np.unique(np.append(i, j))))
+            return pa.table([pa.array([key[0].as_py()] * len(t), BAND), pa.array([key[1].as_py()] * len(t), pa.int64()), t.column("side"), t.column("doc"), t.column("root")], names=["band", "pair", "side", "doc", "root"])
+
+        some = saved(met.join(signature, "doc").groupBy("band", "pair").applyInArrow(candidates, place + ", side int, doc long, root long"))
+        more = some.join(heads.select("doc", "samples", "shingles"), "doc").groupBy("band", "pair").applyInArrow(lambda key, t: settle_meeting(t, key[0].as_py()["i"], rows_per_band, threshold), "a long, b long")
+        more = saved(more)
+        if not more.isEmpty():
+            verified = saved(verified.union(more).distinct())
+            root = components(verified)
     degree = verified.select(F.col("a").alias("doc")).union(verified.select("b")).groupBy("doc").agg(F.count("*").alias("n_links"))
     out = member.join(root.withColumnRenamed("doc", "head"), "head", "left").join(degree.withColumnRenamed("doc", "head"), "head", "left")
     out = out.groupBy("doc").agg(F.min(F.coalesce("root", "head")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))

@@ -169,6 +169,38 @@ def test_near_duplicates_linked_only_to_distant_partners_meet(spark, monkeypatch
     assert got == jaccard_classes(rows)
 
 
+def beside_a_group(c=10, u=9, pairs=50, n=90, words=1200):
+    """A large group, and pairs of documents just over the threshold with each other and just under it with the group."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        w[5 * rng.randrange(words // 5)] = f"g{k}"
+        rows.append((k, " ".join(w), "x"))
+    for k in range(pairs):
+        at = rng.sample(range(0, words, 5), c + 2 * u)
+        for side in range(2):
+            w = list(base)
+            for x in at[:c]:
+                w[x] = f"p{k}-{x}"
+            for x in at[c + side * u : c + side * u + u]:
+                w[x] = f"q{k}-{x}"
+            rows.append((1000 + k + 100 * side, " ".join(w), "x"))
+    return rows
+
+
+def test_near_duplicates_beside_a_large_group_meet(spark, monkeypatch):
+    """Pairs that reach the threshold only with each other, in buckets that a large group makes large."""
+    monkeypatch.setattr(neardup, "BLOCK", 70)
+    monkeypatch.setattr(neardup, "MEET", 64)
+    rows = beside_a_group()
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) > 40
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 def test_proposals_connect_all_candidates():
     rng = np.random.default_rng(1)
     for n in (2, 9, 70):
