@@ -27,6 +27,8 @@ SMOOTHING = 8.0
 #: Least G statistic of a word bucket between a domain and the others: chance reaches it once in 1,000 buckets.
 EVIDENCE = 10.83
 
+#: Features in a row of the table of their places.
+ROW = 512
 #: Log odds of a domain that no labelled document shows: its posteriors are 0.
 UNKNOWN = -1e6
 
@@ -46,48 +48,68 @@ def signs(text: Column, words: Column, buckets: int) -> Column:
     return F.array(*[F.least(F.floor(x), F.lit(LEVELS - 1)).cast("int") + (buckets + i * LEVELS) for i, x in enumerate(share)])
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id_col: str, text_col: str, buckets: int, max_rows: int, informative: int = 256) -> tuple[list[float], dict[int, list[float]]]:
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id_col: str, text_col: str, buckets: int, max_rows: int) -> tuple[list[float], dict[int, list[float]]]:
     """Naive Bayes over word_buckets and signs: each domain's log odds against the first, and those of the features.
 
-    Fitted on at most max_rows labelled documents, those of least id hash. Of the word buckets at most `informative` are kept,
-    those that tell domains apart most surely; so the table is small whatever the input.
+    Fitted on at most max_rows labelled documents, those of least id hash. All word buckets that tell a domain apart surely (EVIDENCE)
+    are kept, and only they are collected.
     """
     known = labels.select(F.col(id_col).alias("__id"), domain_of(F.col("quality"), F.col("toxic")).alias("__domain")).where(F.col("__domain").isin(*domains)).dropDuplicates(["__id"])
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").withColumn("__w", word_buckets(F.col("__text"), buckets))
     rows = saved(rows.select("__domain", F.concat(F.array_distinct("__w"), signs(F.col("__text"), F.col("__w"), buckets)).alias("__f")))
     documents = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
-    counts = {(r["__domain"], r["f"]): r["n"] for r in rows.select("__domain", F.explode("__f").alias("f")).groupBy("__domain", "f").agg(F.count("*").alias("n")).collect()}
-    features = range(buckets + LEVELS * (len(SIGNS) + 1))
     everyone = sum(documents.values())
+    held = rows.select("__domain", F.explode("__f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("__domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
+    evidence = F.array_max(F.array(*[g_statistic(F.col(f"n{i}"), documents.get(d, 0), F.col("n") - F.col(f"n{i}"), everyone - documents.get(d, 0)) for i, d in enumerate(domains)]))
+    found = {r["f"]: r for r in held.where((F.col("f") >= buckets) | (evidence >= EVIDENCE)).collect()}
+    counts = {(d, f): r[f"n{i}"] for f, r in found.items() for i, d in enumerate(domains)}
+    features = [*sorted(f for f in found if f < buckets), *range(buckets, buckets + LEVELS * (len(SIGNS) + 1))]
     pooled = {f: (sum(counts.get((d, f), 0) for d in domains) + 0.5) / (everyone + 1.0) for f in features}
     present = lambda d, f: (counts.get((d, f), 0) + SMOOTHING * pooled[f]) / (documents.get(d, 0) + SMOOTHING)
     absent = [UNKNOWN if documents and not documents.get(d) else 0.0 for d in domains]
     prior = [math.log((documents.get(d, 0) + 1) / (documents.get(domains[0], 0) + 1)) + a - absent[0] for d, a in zip(domains, absent, strict=True)]
-    odds = {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in features}
-    held = lambda f: sum(counts.get((d, f), 0) for d in domains)
-    evidence = {f: max(g_statistic(counts.get((d, f), 0), documents.get(d, 0), held(f) - counts.get((d, f), 0), everyone - documents.get(d, 0)) for d in domains) for f in range(buckets)}
-    best = sorted((f for f in evidence if evidence[f] >= EVIDENCE), key=lambda f: (-evidence[f], f))[:informative]
-    return prior, {f: odds[f] for f in [*sorted(best), *features[buckets:]]}
+    return prior, {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in features}
 
 
-def g_statistic(a: int, n: int, b: int, m: int) -> float:
+def g_statistic(a: Column, n: int, b: Column, m: int) -> Column:
     """Of a in n against b in m: twice the log likelihood of two shares over that of one."""
-    term = lambda x, of: x * math.log(x / of) if x else 0.0
+    term = lambda x, of: F.when(x > 0, x * F.log(x / F.lit(float(of)))).otherwise(0.0)
     apart = term(a, n) + term(n - a, n) + term(b, m) + term(m - b, m)
     return 2 * (apart - term(a + b, n + m) - term(n + m - a - b, n + m))
 
 
+def constants(values: list, kind: str) -> Column:
+    """An array of numbers as one literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def displaced(places: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Shifts by row and a table in which key f has its place at shifts[f // ROW] + f % ROW: rows of keys, laid over each other."""
+    lines: dict[int, list[int]] = {}
+    for f in places:
+        lines.setdefault(f // ROW, []).append(f % ROW)
+    shifts, table = [0] * (max(lines, default=0) + 1), {}
+    for line in sorted(lines, key=lambda x: (-len(lines[x]), x)):
+        shift = 0
+        while any(shift + x in table for x in lines[line]):
+            shift += 1
+        shifts[line] = shift
+        table.update({shift + x: places[line * ROW + x] for x in lines[line]})
+    return shifts, [table.get(i, -1) for i in range(max(table, default=-1) + 1)]
+
+
 def with_posteriors(docs: DataFrame, prior: list[float], table: dict[int, list[float]], *, text_col: str, buckets: int, prefix: str) -> DataFrame:
     """docs with <prefix>n (words) and <prefix>0, <prefix>1, ...: the posteriors. A word bucket counts once a document."""
     words = [f for f in table if f < buckets]
     out = docs.withColumn(prefix + "w", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "w").cast("long"))
-    out = out.withColumn(prefix + "f", F.concat(F.array_intersect(F.col(prefix + "w"), F.array(*map(F.lit, words)).cast("array<int>")), signs(F.col(text_col), F.col(prefix + "w"), buckets)))
-    places = {f: i for i, f in enumerate(table)}
-    place = F.array(*[F.lit(places.get(f, -1)) for f in range(max(table) + 1)])
-    out = out.withColumn(prefix + "p", F.transform(prefix + "f", lambda f: F.get(place, f)))
+    out = out.withColumn(prefix + "f", F.concat(F.array_intersect(F.col(prefix + "w"), constants(words, "int")), signs(F.col(text_col), F.col(prefix + "w"), buckets)))
+    shifts, places = displaced({f: i for i, f in enumerate(table)})
+    shift, place = constants(shifts, "int"), constants(places, "int")
+    row = lambda f: F.floor(f / ROW).cast("int")
+    out = out.withColumn(prefix + "p", F.transform(prefix + "f", lambda f: F.get(place, F.get(shift, row(f)) + f % ROW)))
     for k in range(1, len(prior)):
-        weight = F.array(*[F.lit(round(odds[k], 6)) for odds in table.values()])
+        weight = constants([round(odds[k], 6) for odds in table.values()], "double")
         out = out.withColumn(f"{prefix}s{k}", F.lit(prior[k]) + F.aggregate(F.col(prefix + "p"), F.lit(0.0), _adder(weight)))
     top = F.greatest(F.lit(0.0), *[F.col(f"{prefix}s{k}") for k in range(1, len(prior))]) if len(prior) > 1 else F.lit(0.0)
     parts = [F.exp(F.lit(0.0) - top), *[F.exp(F.col(f"{prefix}s{k}") - top) for k in range(1, len(prior))]]
@@ -156,14 +178,14 @@ def rate(prefix: str, v: list[float]) -> Column:
     return F.greatest(F.lit(0.0), sum((F.col(f"{prefix}{i}") * x for i, x in enumerate(v)), F.lit(1.0)))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, buckets: int = 2048, max_fit_rows: int = 10_000) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, buckets: int = 1 << 18, max_fit_rows: int = 10_000) -> DataFrame:
     """Every row of docs with n_tokens (words), posteriors (a map by domain), rate (>= 0) and copies.
 
     The rates make the expected tokens of each domain meet its target share. With keep_all the total is as large as it must
     be for no domain to shrink, else it is the present total. A domain that no labelled document in docs shows has
     posteriors of 0 and takes no part: the others share its target. copies rounds the rate up or down by a hash of the id, so that
     its mean is the rate; with keep_all it is at least 1. Labels only count for ids in docs; max_fit_rows of them are
-    used. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
+    used. Words are told apart by hash in `buckets`; of those, all that tell a domain apart are scored. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
     an empty table gives an empty result; input columns named like a new one are replaced.
     """
     targets = TARGETS if targets is None else targets

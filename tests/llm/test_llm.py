@@ -325,6 +325,24 @@ def test_mixing_without_a_domains_labels(spark, absent):
     assert abs(sum(r["rate"] * r["n_tokens"] * r["posteriors"]["toxic"] for r in out) / total - share) < 1e-3
 
 
+def test_mixing_finds_telling_words_among_many(spark):
+    """Rare telling words of a domain, in long texts of many words; more of them than 256."""
+    rng = random.Random(3)
+    telling = [f"t{i}" for i in range(450)]
+    rows = []
+    for i in range(240):
+        words = [f"w{rng.randrange(20_000)}" for _ in range(900)]
+        if i % 4 == 0:
+            words[:120] = rng.sample(telling, 120)
+        rows.append((i, " ".join(words)))
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(120)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    _, table = mixing.fit_classifier(docs, known, ["clean", "toxic"], id_col="doc_id", text_col="text", buckets=1 << 18, max_rows=1000)
+    assert sum(f < 1 << 18 for f in table) > 256
+    out = mixing.mixing_rates(docs, known, {"clean": 0.7, "toxic": 0.3}).collect()
+    assert all(r["posteriors"]["toxic"] > 0.5 for r in out if r["doc_id"] >= 120 and r["doc_id"] % 4 == 0)
+
+
 def test_packing(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(["w"] * rng.randint(0, 3000))) for i in range(300)] + [(900, " ".join(["w"] * 10_000)), (901, None), (901, "a b"), (901, "a b")]
