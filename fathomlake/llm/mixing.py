@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -51,11 +52,15 @@ def signs(text: Column, words: Column, buckets: int) -> Column:
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id_col: str, text_col: str, buckets: int, max_rows: int) -> tuple[list[float], dict[int, list[float]]]:
     """Naive Bayes over word_buckets and signs: each domain's log odds against the first, and those of the features.
 
-    Fitted on at most max_rows labelled documents, those of least id hash. All word buckets that tell a domain apart surely (EVIDENCE)
+    Fitted on at most max_rows labelled ids of docs, in each domain those of least hash; a rare domain's are all used before
+    a common one's share grows. Which domains occur, and how often, is counted over all labelled ids of docs. All word buckets that tell a domain apart surely (EVIDENCE)
     are kept, and only they are collected.
     """
     known = labels.select(F.col(id_col).alias("__id"), domain_of(F.col("quality"), F.col("toxic")).alias("__domain")).where(F.col("__domain").isin(*domains)).dropDuplicates(["__id"])
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    known = saved(known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi"))
+    labelled = {r["__domain"]: r["n"] for r in known.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(F.col("__domain") == d).orderBy(F.xxhash64("__id"), "__id").limit(n) for d, n in quotas(labelled, max_rows).items()]
+    known = functools.reduce(DataFrame.union, parts, known.limit(0))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").withColumn("__w", word_buckets(F.col("__text"), buckets))
     rows = saved(rows.select("__domain", F.concat(F.array_distinct("__w"), signs(F.col("__text"), F.col("__w"), buckets)).alias("__f")))
     documents = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
@@ -67,11 +72,20 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id
     features = [*sorted(f for f in found if f < buckets), *range(buckets, buckets + LEVELS * (len(SIGNS) + 1))]
     pooled = {f: (sum(counts.get((d, f), 0) for d in domains) + 0.5) / (everyone + 1.0) for f in features}
     present = lambda d, f: (counts.get((d, f), 0) + SMOOTHING * pooled[f]) / (documents.get(d, 0) + SMOOTHING)
-    absent = [UNKNOWN if documents and not documents.get(d) else 0.0 for d in domains]
-    prior = [math.log((documents.get(d, 0) + 1) / (documents.get(domains[0], 0) + 1)) + a - absent[0] for d, a in zip(domains, absent, strict=True)]
+    absent = [UNKNOWN if labelled and not labelled.get(d) else 0.0 for d in domains]
+    prior = [math.log((labelled.get(d, 0) + 1) / (labelled.get(domains[0], 0) + 1)) + a - absent[0] for d, a in zip(domains, absent, strict=True)]
     return prior, {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in features}
 
 
+def quotas(labelled: dict[str, int], most: int) -> dict[str, int]:
+    """How many of each domain's labelled ids are used: `most` in all, at least one of each, the rest shared evenly as far as they reach."""
+    out, left = {}, most
+    for i, d in enumerate(sorted(labelled, key=lambda d: (labelled[d], d))):
+        out[d] = min(labelled[d], max(1, left // (len(labelled) - i)))
+        left -= out[d]
+    return out
+
+
 def g_statistic(a: Column, n: int, b: Column, m: int) -> Column:
     """Of a in n against b in m: twice the log likelihood of two shares over that of one."""
     term = lambda x, of: F.when(x > 0, x * F.log(x / F.lit(float(of)))).otherwise(0.0)
@@ -184,8 +198,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     The rates make the expected tokens of each domain meet its target share. With keep_all the total is as large as it must
     be for no domain to shrink, else it is the present total. A domain that no labelled document in docs shows has
     posteriors of 0 and takes no part: the others share its target. copies rounds the rate up or down by a hash of the id, so that
-    its mean is the rate; with keep_all it is at least 1. Labels only count for ids in docs; max_fit_rows of them are
-    used. Words are told apart by hash in `buckets`; of those, all that tell a domain apart are scored. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
+    its mean is the rate; with keep_all it is at least 1. Labels only count for ids in docs; max_fit_rows of those are
+    used, of each domain some. Words are told apart by hash in `buckets`; of those, all that tell a domain apart are scored. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
     an empty table gives an empty result; input columns named like a new one are replaced.
     """
     targets = TARGETS if targets is None else targets

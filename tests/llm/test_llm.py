@@ -343,6 +343,16 @@ def test_mixing_finds_telling_words_among_many(spark):
     assert all(r["posteriors"]["toxic"] > 0.5 for r in out if r["doc_id"] >= 120 and r["doc_id"] % 4 == 0)
 
 
+def test_mixing_uses_the_labels_of_its_documents(spark):
+    """Labels of other documents don't take the places of those at hand, and a rare domain is not sampled away."""
+    rows = [(i, " ".join(["bad", "worse"] if i % 30 == 0 else ["fine", "good"])) for i in range(120)]
+    labels = [(i, 1, int(i % 30 == 0)) for i in range(120)] + [(i, 1, 0) for i in range(1000, 6000)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = mixing.mixing_rates(docs, known, {"clean": 0.9, "toxic": 0.1}, max_fit_rows=20).collect()
+    assert all((r["posteriors"]["toxic"] > 0.5) == (r["doc_id"] % 30 == 0) for r in out)
+    assert mixing.quotas({"a": 3, "b": 500, "c": 40}, 30) == {"a": 3, "c": 13, "b": 14}
+
+
 def test_packing(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(["w"] * rng.randint(0, 3000))) for i in range(300)] + [(900, " ".join(["w"] * 10_000)), (901, None), (901, "a b"), (901, "a b")]
