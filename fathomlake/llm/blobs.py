@@ -23,6 +23,9 @@ def pack(*columns: np.ndarray) -> bytes:
     """Columns of non-negative integers: for each its count, its bytes an item, then its byte planes, lowest first."""
     parts = []
     for a in columns:
+        if a.dtype in (np.uint8, np.bool_):
+            parts.append(len(a).to_bytes(8, "little") + b"\x01" + np.ascontiguousarray(a).tobytes())
+            continue
         a = np.ascontiguousarray(a, dtype="<u8")
         width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
         parts.append(len(a).to_bytes(8, "little") + bytes([width]))
@@ -31,10 +34,15 @@ def pack(*columns: np.ndarray) -> bytes:
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    """The columns: of uint8 where an item takes one byte, else of uint64."""
     out, at, raw = [], 0, np.frombuffer(blob, np.uint8)
     while at < len(blob):
         n, width = int.from_bytes(blob[at : at + 8], "little"), blob[at + 8]
         at += 9
+        if width == 1:
+            out.append(raw[at : at + n])
+            at += n
+            continue
         a = np.zeros((n, 8), np.uint8)
         a[:, :width] = raw[at : at + n * width].reshape(width, n).T
         out.append(a.reshape(-1).view("<u8"))

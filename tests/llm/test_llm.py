@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 llm = pytest.importorskip("fathomlake.llm")
-from fathomlake.llm import fmindex, htmltext, licenses, mixing, neardup, packing, quality, suffixarray, topk, urls  # noqa: E402
+from fathomlake.llm import fmindex, htmltext, licenses, mixing, neardup, packing, quality, repeats, suffixarray, topk, urls  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, extra string"
@@ -48,34 +48,95 @@ def removed(rows, units, length):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 97])
-def test_substring_and_suffix_array_dedup_equal_brute_force(spark, monkeypatch, chunk):
+def dedup_in_process(rows, unit, plan):
+    """The rounds of remove_repeats without Spark: one process, a few batches."""
+    import pyarrow as pa
+
+    parts = [rows[k::3] for k in range(3)]
+    batches = [repeats.Batch(pa.table({"doc_id": pa.array([r[0] for r in x], pa.int64()), "text": pa.array([r[1] for r in x], pa.string())}), "doc_id", "text", unit) for x in parts]
+    by = lambda table, c, v: table.filter(pa.compute.equal(table.column(c), v))
+    buckets = range(plan.buckets)
+    counted = pa.concat_tables([repeats.count_anchors(b, k, plan) for k, b in enumerate(batches)])
+    bits = pa.concat_tables([repeats.census(by(counted, "bucket", v)) for v in buckets])
+    listed = pa.concat_tables([repeats.list_contexts(b, k, by(bits, "batch", k), plan) for k, b in enumerate(batches)])
+    asked = pa.concat_tables([repeats.ask(by(listed, "bucket", v)) for v in buckets])
+    contents = pa.concat_tables([repeats.send(b, k, by(asked, "batch", k), plan) for k, b in enumerate(batches)])
+    found = pa.concat_tables([repeats.compare(by(listed, "bucket", v), by(contents, "bucket", v), plan) for v in buckets])
+    kept = pa.string() if unit == "word" else pa.binary()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", kept)])
+    return {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for k, b in enumerate(batches) for r in repeats.cut(b, by(found, "batch", k), ["doc_id"], schema, plan).to_pylist()}
+
+
+@pytest.mark.parametrize(("chunk", "hot", "shard"), [(1 << 16, 1024, 1 << 17), (97, 3, 200), (97, 1, 1)])
+def test_rounds_of_dedup_equal_brute_force(monkeypatch, chunk, hot, shard):
+    """Also where texts are hashed in pieces, anchors are hot, and indexes are small."""
+    for name, value in (("CHUNK", chunk), ("HOT", hot), ("SHARD", shard)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = corpus()
+    got = dedup_in_process(rows, "byte", repeats.Plan("byte", 50, 16, 3, suffixarray.held_before))
+    assert got == {i: (n, g, bytes(k)) for i, (n, g, k) in removed(rows, lambda t: t.encode(), 50).items()}
+    got = dedup_in_process(rows, "word", repeats.Plan("word", 13, 7, 3, fmindex.held_before))
+    assert got == {i: (n, g, " ".join(k)) for i, (n, g, k) in removed(rows, WORD.findall, 13).items()}
+
+
+def test_a_hot_anchor_does_not_fill_its_bucket(monkeypatch):
+    """Documents that share seven words amid others: the bucket's lists and contents stay as even as without them."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    phrase = " ".join(f"hot{k}" for k in range(7))
+    monkeypatch.setattr(repeats, "HOT", 64)
+    plan = repeats.Plan("word", 13, 7, 32, fmindex.held_before)
+    table = pa.table({"doc_id": list(range(2000)), "text": [" ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) + f" {phrase} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) for _ in range(2000)]})
+    b = repeats.Batch(table, "doc_id", "text", "word")
+    listed = repeats.list_contexts(b, 0, pa.concat_tables([repeats.census(pa.Table.from_pylist([r], schema=repeats.BLOB)) for r in repeats.count_anchors(b, 0, plan).to_pylist()]), plan)
+    sizes = sorted(len(r["blob"]) for r in listed.to_pylist() if r["kind"] == repeats.LISTED)
+    assert len(sizes) == 32 and sizes[-1] < 2 * sizes[16]
+
+
+@pytest.mark.parametrize("held_before", [fmindex.held_before, suffixarray.held_before])
+def test_indexes_equal_all_windows(held_before):
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        length, m = int(rng.integers(1, 14)), int(rng.integers(1, 25))
+        size, ids = rng.integers(1, 40, m), rng.integers(-5, 20, m)
+        text = rng.integers(0, int(rng.integers(1, 5)), size.sum()).astype(np.uint8 if held_before is suffixarray.held_before else np.int64)
+        entries = [text[e - s : e].tolist() for e, s in zip(np.cumsum(size), size, strict=True)]
+        windows = [(i, k, tuple(x[k : k + length])) for i, x in enumerate(entries) for k in range(len(x) - length + 1)]
+        least = {}
+        for i, _, w in windows:
+            least[w] = min(least.get(w, 99), ids[i])
+        want = {(i, k + j) for i, k, w in windows if least[w] < ids[i] for j in range(length)}
+        assert {(e, j) for e, a, z in zip(*(x.tolist() for x in held_before(text, size, ids, length)), strict=True) for j in range(a, z)} == want
+
+
+def test_matching_statistics_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        size, ids = rng.integers(1, 30, 12), rng.integers(0, 6, 12)
+        text = rng.integers(0, 3, size.sum())
+        entries = [text[e - s : e].tolist() for e, s in zip(np.cumsum(size), size, strict=True)]
+        index = fmindex.FMIndex(text, size, ids, 3, 7)
+        want = []
+        for i, x in enumerate(entries):
+            smaller = {tuple(y[a : a + n]) for j, y in enumerate(entries) if ids[j] < ids[i] for n in range(8) for a in range(len(y) - n + 1)}
+            want += [max(n for n in range(min(7, len(x) - k) + 1) if n == 0 or tuple(x[k : k + n]) in smaller) for k in range(len(x))]
+        assert fmindex.matching_statistics(index, text, size, ids, 7).tolist() == want
+
+
+def test_buckets_are_refined_to_the_suffix_order():
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        size = rng.integers(1, 80, 30)
+        text = rng.integers(97, 99, size.sum()).astype(np.uint8)
+        order, left, _ = suffixarray.suffix_array(text, size, 50)
+        suffix = [bytes(text[i : i + min(50, left[i])]) for i in order]
+        assert suffix == sorted(suffix) and sorted(order.tolist()) == list(range(len(text)))
+
+
+def test_substring_and_suffix_array_dedup_equal_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    if chunk < 1000:
-        import fathomlake.llm.repeats as repeats
-
-        batch = repeats.Batch
-        got = {}
-        monkeypatch.setattr(repeats, "CHUNK", chunk)
-        import pyarrow as pa
-
-        b = batch(pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}), "doc_id", "text", "byte")
-        plan = repeats.Plan("byte", 50, 16, 3, suffixarray.windows_held_before)
-        lists = repeats.list_contexts(b, 0, plan).to_pylist()
-        import collections as c
-
-        by = c.defaultdict(list)
-        for x in lists:
-            by[x["bucket"]].append(x)
-        answers = pa.concat_tables([repeats.answer(pa.Table.from_pylist(x, schema=repeats.BLOB)) for x in by.values()])
-        sent = repeats.settle(b, 0, answers, plan)
-        found = repeats.compare(sent, plan)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-        got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for r in repeats.cut(b, found, ["doc_id"], schema).to_pylist()}
-        want = {i: (n, g, bytes(k)) for i, (n, g, k) in removed(rows, lambda t: t.encode(), 50).items()}
-        assert got == want
-        return
     out = fmindex.substring_dedup(docs, batch_bytes=2000)
     assert out.columns == ["doc_id", "text", "extra", "n_units", "n_removed", "spans", "kept"]
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for r in out.collect()}
@@ -92,6 +153,10 @@ def test_dedup_of_null_and_repeated_ids_and_of_nothing(spark):
     assert fmindex.substring_dedup(docs.limit(0)).collect() == []
     clash = docs.withColumn("kept", docs.doc_id)
     assert fmindex.substring_dedup(clash).columns == ["doc_id", "text", "n_units", "n_removed", "spans", "kept"]
+    clash = docs.selectExpr("doc_id AS __batch0", "text", "doc_id AS batch", "text AS n_units")
+    for f in (fmindex.substring_dedup, suffixarray.suffix_array_dedup):
+        assert sorted((r["__batch0"] or 0, r["batch"] or 0, r["n_removed"] > 0) for r in f(clash, id_col="__batch0").collect()) == [(0, 0, False), (5, 5, False), (5, 5, False), (7, 7, True)]
+        assert f(docs.where("doc_id is null")).count() == 1 and f(docs.limit(0)).collect() == []
 
 
 def jaccard_classes(rows, threshold=0.8, width=5):
