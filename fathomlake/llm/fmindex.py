@@ -170,7 +170,7 @@ def held_before(symbols: np.ndarray, size: np.ndarray, ids: np.ndarray, length:
     return runs(entry, start, start + length)
 
 
-def substring_dedup(docs: DataFrame, *, length: int = 13, gram: int = 7, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, length: int = 13, gram: int = 7, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """Words of each text without those covered by a window of `length` words that a smaller document holds too.
 
     Returns every row with n_units (words), n_removed, spans (in words) and kept (the words left, joined by one space).

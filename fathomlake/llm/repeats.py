@@ -2,7 +2,7 @@
 
 A unit is a byte or a word; a window is `length` consecutive units of one document. Every window has an anchor, the
 least-hashed run of `gram` units in it, so equal windows have equal anchors, and about 2 / (length - gram + 2) of all
-positions are anchors. An anchor's context is the stretch that holds every window the anchor stands for. Four rounds of
+positions are anchors. An anchor's context is the stretch of the consecutive windows that it stands for. Four rounds of
 packed arrays follow between batches of documents and buckets of anchors:
 
 1. Batches count their anchors; buckets tell which anchors occur again, and which are hot (in over HOT contexts).
@@ -38,8 +38,8 @@ CHUNK = 1 << 16
 HOT = 1024
 #: Units in an index.
 SHARD = 1 << 17
-#: Input bytes to a bucket, as a multiple of a batch's.
-BATCHES_PER_BUCKET = 8
+#: Batches to a shuffle partition at least, so that partitions are even, and batches to a bucket.
+BATCHES, BATCHES_PER_BUCKET = 4, 2
 #: Bits of an anchor's hash that are not sent.
 SHIFT = U64(24)
 #: Kinds of messages.
@@ -81,7 +81,7 @@ class Batch:
 @dataclass
 class Anchors:
     key: np.ndarray  # the anchor's hash, less SHIFT bits
-    context: np.ndarray  # hash of the context, with the anchor's place in it
+    context: np.ndarray  # hash of the context
     doc: np.ndarray  # row in the batch
     lo: np.ndarray  # the context, as units of the batch
     hi: np.ndarray
@@ -111,23 +111,21 @@ def anchors(b: Batch, p: Plan, hot: np.ndarray) -> Anchors:
         across = (bounds[:, None] - np.arange(1, p.length)).ravel()  # starts of windows that run over a document's end
         least[across[(across >= 0) & (across < len(least))]] = 0
         least[max(0, known - a) :] = 0
-        around = np.concatenate([np.zeros(w - 1, U64), least, np.zeros(w - 1, U64)])
-        at = np.flatnonzero(blobs.sliding(np.maximum, around, w) == grams)
+        opens = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        size = np.diff(np.append(opens, len(least)))
+        many = -(-size // w)
+        lo = np.repeat(opens, many) + w * stretches(np.zeros(len(many), np.int64), many)
+        hi = np.minimum(lo + w, np.repeat(opens + size, many)) - 1 + p.length
+        some = least[lo] > 0
+        lo, hi = lo[some], hi[some]
         if len(hot):
-            is_hot = member(hot, grams[at] >> SHIFT)
-            i = (at[is_hot][:, None] - np.arange(w)).ravel()
-            of = np.repeat(grams[at[is_hot]], w)
-            inside = (i >= 0) & (i < len(least))
-            i, of = i[inside], of[inside]
-            i = np.unique(i[least[i] == of])
+            is_hot = member(hot, least[lo] >> SHIFT)
+            i = stretches(lo[is_hot], (hi - lo)[is_hot] - p.length + 1)
             whole = h.of(i, i + p.length)
             found.append((mix(whole + U64(0x9E6C63D0876A9A99)) >> SHIFT, mix(whole * U64(0xD1342543DE82EF95) + least[i]), np.searchsorted(b.first, i + a, "right") - 1, i + a, i + a + p.length))
-            at = at[~is_hot]
-        d = np.searchsorted(b.first, at + a, "right") - 1
-        lo = np.maximum(np.maximum(b.first[d] - a, at - w + 1), 0)
-        hi = np.minimum(np.minimum(b.first[d + 1] - a, at + p.gram + w - 1), end - a)
-        c = mix(h.of(lo, hi) + (at - lo).astype(U64) * U64(0x8CB92BA72F3D8DD7) + (hi - lo).astype(U64) * U64(0xABC98388FB8FAC03))
-        found.append((grams[at] >> SHIFT, c, d, lo + a, hi + a))
+            lo, hi = lo[~is_hot], hi[~is_hot]
+        context = mix(h.of(lo, hi) + (hi - lo).astype(U64) * U64(0xABC98388FB8FAC03))
+        found.append((least[lo] >> SHIFT, context, np.searchsorted(b.first, lo + a, "right") - 1, lo + a, hi + a))
     columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, U64)] * 2 + [np.zeros(0, np.int64)] * 3
     return Anchors(*columns)
 
@@ -434,7 +432,7 @@ def cut(b: Batch, found: pa.Table, carried: list[str], schema: pa.Schema, p: Pla
     return pa.Table.from_arrays([columns[f.name].cast(f.type) if f.name != "spans" else columns[f.name] for f in schema], names=schema.names)
 
 
-def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gram: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gram: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """Every row of docs with n_units, n_removed, spans (removed stretches, in units) and kept (binary for bytes, string for words).
 
     All windows are judged on the input. A null text is empty; a row whose id is null keeps all and makes no other row
@@ -448,8 +446,8 @@ def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gra
     carried = [c for c in docs.columns if c not in ("n_units", "n_removed", "spans", "kept")]
     docs = docs.select(*carried)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // batch_bytes))
-    p = Plan(unit, length, gram, max(1, n // BATCHES_PER_BUCKET, min(n, 64)), index)
+    n = max(BATCHES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // batch_bytes))
+    p = Plan(unit, length, gram, n // BATCHES_PER_BUCKET, index)
     tag = next(c for c in (f"__batch{i}" for i in range(len(carried) + 1)) if c not in carried)
     batched = docs.withColumn(tag, F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(7)), F.lit(n)).cast("long"))
     blob_type = "bucket long, batch long, kind int, blob binary"

@@ -97,7 +97,7 @@ def held_before(text: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int
     return runs(entry, start, start + length)
 
 
-def suffix_array_dedup(docs: DataFrame, *, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, *, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """Bytes of each text without those covered by a `length`-byte string that a smaller document holds too.
 
     Returns every row with n_units, n_removed, spans and kept (binary: a cut may fall inside a character). Null and
