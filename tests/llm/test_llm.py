@@ -272,9 +272,9 @@ def test_proposals_connect_all_candidates():
         centre = rng.integers(0, 2**60, (3, 64)).astype(np.uint64)
         s = centre[rng.integers(0, 3, n)]
         s = np.where(rng.random(s.shape) < 0.2, rng.integers(0, 2**60, s.shape).astype(np.uint64), s)
-        w = neardup.agreement(s)
-        i, j = np.nonzero(np.triu(w >= neardup.AGREE, 1))
-        a, b, _ = neardup.propose(s)
+        s = (s & np.uint64(255)).astype(np.uint8)
+        i, j = np.nonzero(np.triu(neardup.agreement(s, s) >= neardup.CANDIDATE * 64, 1))
+        a, b = neardup.propose(s)
         assert neardup.joined(np.arange(n), a, b).tolist() == neardup.joined(np.arange(n), i, j).tolist()
 
 
@@ -285,7 +285,7 @@ def test_blocks_are_settled_as_by_all_pairs():
     base = np.arange(1, 101).astype(np.uint64)
     sets = [np.sort(np.where(rng.random(100) < 0.11, rng.integers(1000, 2**40, 100).astype(np.uint64), base)) for _ in range(40)]
     ones = np.ones(100, np.uint64)
-    rows = [{"doc": i, "samples": np.arange(64).astype(np.uint64).tobytes(), "shingles": neardup.pack(g, ones), "root": i - i % 2} for i, g in enumerate(sets)]
+    rows = [{"doc": i, "sample": np.arange(64).astype(np.uint8).tobytes(), "shingles": neardup.pack(g, ones), "root": i - i % 2} for i, g in enumerate(sets)]
     out = neardup.settle_block(pa.Table.from_pylist(rows), 0.8)
     ok = [(i, j) for i, j in itertools.combinations(range(40), 2) if neardup.similarity([sets[i], ones], [sets[j], ones]) >= 0.8]
     start = np.arange(40) // 2 * 2
