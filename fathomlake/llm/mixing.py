@@ -61,20 +61,30 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], *, id
     labelled = {r["__domain"]: r["n"] for r in known.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("__domain") == d).orderBy(F.xxhash64("__id"), "__id").limit(n) for d, n in quotas(labelled, max_rows).items()]
     known = functools.reduce(DataFrame.union, parts, known.limit(0))
+    known = F.broadcast(known)  # max_rows ids, and one more for each domain, at most
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id").withColumn("__w", word_buckets(F.col("__text"), buckets))
     rows = saved(rows.select("__domain", F.concat(F.array_distinct("__w"), signs(F.col("__text"), F.col("__w"), buckets)).alias("__f")))
     documents = {r["__domain"]: r["n"] for r in rows.groupBy("__domain").agg(F.count("*").alias("n")).collect()}
-    everyone = sum(documents.values())
-    held = rows.select("__domain", F.explode("__f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("__domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
-    evidence = F.array_max(F.array(*[g_statistic(F.col(f"n{i}"), documents.get(d, 0), F.col("n") - F.col(f"n{i}"), everyone - documents.get(d, 0)) for i, d in enumerate(domains)]))
+    held = saved(rows.select("__domain", F.explode("__f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("__domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)]))
+    # words are counted among all words of a domain's documents, so that long documents of one domain don't make every word tell of it
+    whole = held.where(F.col("f") < buckets).agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains))]).first()
+    words = {d: whole[f"n{i}"] or 0 for i, d in enumerate(domains)}
+    of = lambda f, d: words[d] if f < buckets else documents.get(d, 0)
+    evidence = F.array_max(F.array(*[g_statistic(F.col(f"n{i}"), words[d], F.col("n") - F.col(f"n{i}"), sum(words.values()) - words[d]) for i, d in enumerate(domains)]))
     found = {r["f"]: r for r in held.where((F.col("f") >= buckets) | (evidence >= EVIDENCE)).collect()}
     counts = {(d, f): r[f"n{i}"] for f, r in found.items() for i, d in enumerate(domains)}
     features = [*sorted(f for f in found if f < buckets), *range(buckets, buckets + LEVELS * (len(SIGNS) + 1))]
-    pooled = {f: (sum(counts.get((d, f), 0) for d in domains) + 0.5) / (everyone + 1.0) for f in features}
-    present = lambda d, f: (counts.get((d, f), 0) + SMOOTHING * pooled[f]) / (documents.get(d, 0) + SMOOTHING)
+
+    def share(d: str, f: int) -> float:
+        """Of a domain's words, or documents: those with the feature, shrunk to the share among all domains."""
+        everyone = sum(of(f, x) for x in domains)
+        weight = SMOOTHING * (everyone / max(1, sum(documents.values())))
+        pooled = (sum(counts.get((x, f), 0) for x in domains) + 0.5) / (everyone + 1.0)
+        return (counts.get((d, f), 0) + weight * pooled) / (of(f, d) + weight) if weight else 1.0
+
     absent = [UNKNOWN if labelled and not labelled.get(d) else 0.0 for d in domains]
     prior = [math.log((labelled.get(d, 0) + 1) / (labelled.get(domains[0], 0) + 1)) + a - absent[0] for d, a in zip(domains, absent, strict=True)]
-    return prior, {f: [math.log(present(d, f) / present(domains[0], f)) for d in domains] for f in features}
+    return prior, {f: [math.log(share(d, f) / share(domains[0], f)) for d in domains] for f in features}
 
 
 def quotas(labelled: dict[str, int], most: int) -> dict[str, int]:
@@ -136,88 +146,71 @@ def _adder(weight: Column):
     return lambda total, place: total + F.get(weight, place)
 
 
-def solve(a: list[list[float]], b: list[float]) -> list[float]:
-    """Gaussian elimination with pivoting; a direction without weight gets 0."""
-    n, m = len(b), [[*row, x] for row, x in zip(a, b, strict=True)]
-    for i in range(n):
-        j = max(range(i, n), key=lambda r: abs(m[r][i]))
-        m[i], m[j] = m[j], m[i]
-        if abs(m[i][i]) < 1e-12:
-            continue
-        for r in range(n):
-            if r != i and (f := m[r][i] / m[i][i]):
-                m[r] = [x - f * y for x, y in zip(m[r], m[i], strict=True)]
-    return [m[i][n] / m[i][i] if abs(m[i][i]) >= 1e-12 else 0.0 for i in range(n)]
+def rate(prefix: str, v: list[float], least: float, most: float) -> Column:
+    """What the steps so far make of a document's rate, projected to the permitted ones."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), sum((F.col(f"{prefix}{i}") * x for i, x in enumerate(v)), F.lit(1.0))))
 
 
-def fit_rates(scored: DataFrame, targets: list[float], prefix: str, *, steps: int = 12, tolerance: float = 1e-6) -> list[float]:
-    """Multipliers v for which the rates max(0, 1 + posteriors . v) meet the targets: lazily projected gradient steps.
+def fit_rates(scored: DataFrame, targets: list[float], prefix: str, *, least: float = 0.0, most: float = math.inf, steps: int = 100, tolerance: float = 1e-4) -> tuple[list[float], list[float]]:
+    """Multipliers v for which the rates 1 + posteriors . v, projected to least .. most, meet the targets; and the expected totals.
 
-    The least-squares problem is min sum n (x - 1)^2 with sum x n p = target and x >= 0, over documents of n tokens and
-    posteriors p. The gradient in a document's rate is p times the totals' residual, so the sum of all steps so far is p . v
-    for a few numbers v, and the projection is the max. Each step is one aggregation over all documents, which returns the
-    residual and the curvature of the documents that the projection leaves free; a step is halved while it doesn't help.
+    Projected gradient descent on the squared residual of the domains' expected tokens, over one rate for each document. The
+    gradient in a rate is the document's posteriors times the residual, so the sum of all steps so far is posteriors . v for
+    a few numbers v, and nothing is kept by document between steps: the projection is taken lazily, of that sum. A domain's
+    residual is divided by its tokens, a step under which the residual can't grow: the curvature, sum n p p', is at most
+    the diagonal of sum n p, as a document's posteriors sum to 1. Each step is one aggregation over all documents. Ends where the
+    largest residual is under `tolerance` of all tokens, or where the totals stand still, as they do at the bounds of the rates.
     """
-    k = len(targets)
-    n, p = F.col(prefix + "n").cast("double"), [F.col(f"{prefix}{i}") for i in range(k)]
-    scale = max(sum(targets), 1.0)
+    n, p = F.col(prefix + "n").cast("double"), [F.col(f"{prefix}{i}") for i in range(len(targets))]
 
-    def totals(v: list[float]) -> tuple[list[float], list[list[float]]]:
-        x = rate(prefix, v)
-        sums = [F.sum(n * x * p[i]).alias(f"t{i}") for i in range(k)] + [F.sum(F.when(x > 0, n * p[i] * p[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        r = scored.agg(*sums).first()
-        return [r[f"t{i}"] or 0.0 for i in range(k)], [[r[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+    def totals(v: list[float]) -> list[float]:
+        r = scored.agg(*[F.sum(n * rate(prefix, v, least, most) * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
+        return [r[f"t{i}"] or 0.0 for i in range(len(p))]
 
-    v, (now, curve) = [0.0] * k, totals([0.0] * k)
-    loss = lambda t: sum(((a - b) / scale) ** 2 for a, b in zip(t, targets, strict=True))
+    v = [0.0] * len(targets)
+    start = now = totals(v)
+    scale = max(sum(targets), 1.0)
     for _ in range(steps):
-        if loss(now) < tolerance**2:
+        if max(abs(a - b) for a, b in zip(now, targets, strict=True)) < tolerance * scale:
             break
-        ridge = 1e-9 * max(max(row) for row in curve) if curve else 0.0
-        step = solve([[x + ridge * (i == j) for j, x in enumerate(row)] for i, row in enumerate(curve)], [b - a for a, b in zip(now, targets, strict=True)])
-        size = 1.0
-        while size > 1e-3:
-            trial = [a + size * s for a, s in zip(v, step, strict=True)]
-            there, bend = totals(trial)
-            if loss(there) < loss(now):
-                v, now, curve = trial, there, bend
-                break
-            size /= 2
-        else:
+        v = [x + (b - a) / t if t > 0 else x for x, a, b, t in zip(v, now, targets, start, strict=True)]
+        before, now = now, totals(v)
+        if max(abs(a - b) for a, b in zip(now, before, strict=True)) < tolerance * scale / 100:
             break
-    return v
-
-
-def rate(prefix: str, v: list[float]) -> Column:
-    return F.greatest(F.lit(0.0), sum((F.col(f"{prefix}{i}") * x for i, x in enumerate(v)), F.lit(1.0)))
+    return v, now
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, buckets: int = 1 << 18, max_fit_rows: int = 10_000) -> DataFrame:
-    """Every row of docs with n_tokens (words), posteriors (a map by domain), rate (>= 0) and copies.
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_all: bool = True, max_rate: float = 4.0, max_growth: float = 2.0, buckets: int = 1 << 18, max_fit_rows: int = 10_000) -> DataFrame:
+    """Every row of docs with n_tokens (words), posteriors (a map by domain), rate, copies, and gap.
 
-    The rates make the expected tokens of each domain meet its target share. With keep_all the total is as large as it must
-    be for no domain to shrink, else it is the present total. A domain that no labelled document in docs shows has
-    posteriors of 0 and takes no part: the others share its target. copies rounds the rate up or down by a hash of the id, so that
-    its mean is the rate; with keep_all it is at least 1. Labels only count for ids in docs; max_fit_rows of those are
-    used, of each domain some. Words are told apart by hash in `buckets`; of those, all that tell a domain apart are scored. Null and empty texts have no tokens, the prior as posteriors and a rate like others; repeated rows are rated each;
-    an empty table gives an empty result; input columns named like a new one are replaced.
+    The rates make the expected tokens of each domain meet its target share of a total, as far as their bounds permit; gap says
+    how far they don't: the largest difference of a domain's expected share of that total from its target. Rates lie from 0 to
+    max_rate, with keep_all from 1. The total is the present one; with keep_all as much more as it takes for no domain to shrink, up to
+    max_growth times. copies rounds the rate up or down by a hash of the id, so that its mean is the rate: the targets hold for copies as
+    they do for rates. A domain that no labelled document in docs shows has posteriors of 0 and takes no part: the others
+    share its target. Labels only count for ids in docs; max_fit_rows of those are used, of each domain some. Words are told apart
+    by hash in `buckets`; of those, all that tell a domain apart are scored. Null and empty texts have no tokens, the prior
+    as posteriors and a rate like others, as have null ids; repeated rows are rated each; texts of any length are scored whole;
+    an empty table gives an empty result; input columns named like a new one are replaced, others carried.
     """
     targets = TARGETS if targets is None else targets
     domains, p = sorted(targets), "__m_"
+    new = ("n_tokens", "posteriors", "rate", "copies", "gap")
+    docs = docs.select(*[c for c in docs.columns if c not in new])
     prior, table = fit_classifier(docs, labels, domains, id_col=id_col, text_col=text_col, buckets=buckets, max_rows=max_fit_rows)
-    slim = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__key"), F.col(text_col).alias("__text"))
-    scored = saved(with_posteriors(slim, prior, table, text_col="__text", buckets=buckets, prefix=p).drop("__text"))
+    whole = saved(with_posteriors(docs, prior, table, text_col=text_col, buckets=buckets, prefix=p))
+    scored = saved(whole.select(p + "n", *[f"{p}{i}" for i in range(len(domains))]))
     have = scored.agg(*[F.sum(F.col(p + "n") * F.col(f"{p}{i}")).alias(f"t{i}") for i in range(len(domains))]).first()
     now = [have[f"t{i}"] or 0.0 for i in range(len(domains))]
     reached = [targets[d] if t > 0 else 0.0 for d, t in zip(domains, now, strict=True)]
     share = [x / (sum(reached) or 1.0) for x in reached]
-    total = max((t / s for t, s in zip(now, share, strict=True) if s > 0), default=0.0) if keep_all else sum(now)
-    v = fit_rates(scored, [total * s for s in share], p)
-    rated = scored.dropDuplicates(["__id", "__key"]).select("__id", "__key", F.col(p + "n").alias("n_tokens"), F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"{p}{i}"))]).alias("posteriors"), rate(p, v).alias("rate"))
-    part = F.pmod(F.xxhash64(F.col("__id"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(F.col("rate") + part).cast("int")
-    rated = rated.withColumn("copies", F.greatest(copies, F.lit(1)) if keep_all else copies)
-    keep = [c for c in docs.columns if c not in ("n_tokens", "posteriors", "rate", "copies")]
-    left = docs.select(*keep).withColumns({"__id": F.col(id_col), "__key": F.xxhash64(F.col(text_col))})
-    on = left["__id"].eqNullSafe(rated["__id"]) & (left["__key"] == rated["__key"])
-    return left.join(rated, on).select(*[left[c] for c in keep], "n_tokens", "posteriors", "rate", "copies")
+    total = sum(now)
+    if keep_all:
+        total = min(max((t / s for t, s in zip(now, share, strict=True) if s > 0), default=0.0), max_growth * total)
+    least = 1.0 if keep_all else 0.0
+    v, expected = fit_rates(scored, [total * s for s in share], p, least=least, most=max_rate)
+    gap = max((abs(t / total - s) for t, s in zip(expected, share, strict=True)), default=0.0) if total else 0.0
+    part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    posteriors = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"{p}{i}"))])
+    rated = whole.select(*docs.columns, F.col(p + "n").alias("n_tokens"), posteriors.alias("posteriors"), rate(p, v, least, max_rate).alias("rate"))
+    return rated.withColumns({"copies": F.floor(F.col("rate") + part).cast("int"), "gap": F.lit(gap)})

@@ -352,17 +352,47 @@ def test_mixing_meets_targets(spark):
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     targets = {"clean": 0.6, "junk": 0.4}
     out = mixing.mixing_rates(docs, known, targets, keep_all=False).collect()
-    assert len(out) == len(rows) and min(r["rate"] for r in out) >= 0
+    assert len(out) == len(rows) and min(r["rate"] for r in out) >= 0 and max(r["gap"] for r in out) < 1e-3
     total = sum(r["rate"] * r["n_tokens"] for r in out)
     for d, share in targets.items():
         assert abs(sum(r["rate"] * r["n_tokens"] * r["posteriors"][d] for r in out) / total - share) < 1e-3
     right = [(r["posteriors"]["junk"] > 0.5) == (r["doc_id"] % 4 == 0) for r in out if r["doc_id"] < 400 and r["doc_id"] % 3]
     assert np.mean(right) > 0.95  # held out: these have no label
     kept = mixing.mixing_rates(docs, known, targets).collect()
-    assert min(r["copies"] for r in kept) >= 1
+    total = sum(r["rate"] * r["n_tokens"] for r in kept)
+    assert min(r["copies"] for r in kept) >= 1 and all(abs(r["copies"] - r["rate"]) < 1 for r in kept)
+    for d, share in targets.items():  # no document goes, and the targets hold
+        assert abs(sum(r["rate"] * r["n_tokens"] * r["posteriors"][d] for r in kept) / total - share) < 1e-3
+    assert abs(sum(r["copies"] * r["n_tokens"] for r in kept) / total - 1) < 0.05
     assert mixing.mixing_rates(docs.limit(0), known, targets).collect() == []
 
 
+@pytest.mark.parametrize(("least", "most"), [(0.0, 4.0), (1.0, 3.0), (0.0, 1.2)])
+def test_rates_equal_the_least_squares_solution(spark, least, most):
+    """Against projected gradient steps by document, with the projection taken at once, in numpy."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.3, 0.2], 80)
+    n = rng.integers(0, 500, 80)
+    now = n @ p
+    targets = now.sum() * np.array([0.3, 0.4, 0.3]) * (1.4 if least else 1)
+    scored = spark.createDataFrame([(int(a), *map(float, x)) for a, x in zip(n, p, strict=True)], "x_n long, x_0 double, x_1 double, x_2 double")
+    v, totals = mixing.fit_rates(scored, targets.tolist(), "x_", least=least, most=most, steps=300)
+    x = np.ones(80)
+    for _ in range(60_000):
+        x = np.clip(x - p @ ((n * x) @ p - targets) / now.max(), least, most)
+    best = (n * x) @ p
+    assert np.allclose(np.clip(1 + p @ v, least, most) @ (n[:, None] * p), totals)
+    loss = lambda t: np.square(np.asarray(t) - targets).sum() / targets.sum() ** 2
+    assert loss(totals) <= loss(best) + 1e-4
+
+
+def test_mixing_of_clashing_columns_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c", 1.5, "k"), (1, "a b", 2.5, "l"), (1, "a b", 2.5, "l"), (2, None, 0.5, "m")], "doc_id long, text string, rate double, __id string")
+    out = mixing.mixing_rates(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert out.columns == ["doc_id", "text", "__id", "n_tokens", "posteriors", "rate", "copies", "gap"]
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["copies"] >= 1) for r in out.collect()) == [(0, 3, True), (1, 2, True), (1, 2, True), (2, 0, True)]
+
+
 def test_mixing_rare_domain_draws_few(spark):
     """With two labelled documents of a domain, rare words alone don't put the rest in it."""
     rng = random.Random(1)
