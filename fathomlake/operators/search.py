@@ -13,7 +13,6 @@ from ..plans.model import Include, SearchRequest
 from ..plans.registry import Registry
 from ..sources.frames import Catalog
 
-RESULT = ("id", "versionId", "content", "lastUpdated", "deleted")
 #: Resources that includes may add, and rounds of :iterate.
 INCLUDE_CAP, ITERATE_DEPTH = 1000, 3
 
@@ -72,7 +71,7 @@ class Searcher:
     def content(self, resource_type: str, ids: DataFrame) -> DataFrame:
         """resourceType, id, content of the live resources whose id is among ids."""
         rows = self.catalog.frame(resource_type).live().select("id", "content")
-        return rows.join(ids.select("id").distinct(), "id", "left_semi").select(F.lit(resource_type).alias("resourceType"), "id", "content")
+        return rows.join(F.broadcast(ids.select("id").distinct()) if ids.isLocal() else ids.select("id").distinct(), "id", "left_semi").select(F.lit(resource_type).alias("resourceType"), "id", "content")
 
     def edges(self, source: str, include: Include) -> DataFrame | None:
         frame = self.catalog.find(source)
@@ -88,7 +87,7 @@ class Searcher:
         edges = self.edges(source, include)
         if edges is None:
             return None
-        reached = edges.join(F.broadcast(sources.select(F.col("id").alias("resourceId")).distinct()), "resourceId", "left_semi") if sources is not None else edges
+        reached = edges.join(F.broadcast(sources.select(F.col("id").alias("resourceId")).distinct()), "resourceId", "left_semi")  # a page's ids
         kinds = [include.target] if include.target else self.target_types(source, include)
         found = [self.content(k, reached.where(F.col("targetType") == k).select(F.col("targetId").alias("id"))) for k in kinds if self.catalog.find(k)]
         return reduce(DataFrame.unionByName, found) if found else None
@@ -99,17 +98,29 @@ class Searcher:
 
     def forward(self, source: str, page: DataFrame, include: Include) -> DataFrame | None:
         """_include: one join for each target type; with :iterate, what was reached is followed up to ITERATE_DEPTH rounds."""
-        found = self.targets(source, page, include)
-        if found is None or not include.iterate:
-            return found
-        seen, fresh = found, found
-        for _ in range(ITERATE_DEPTH - 1):
-            onward = [x for k in self.catalog.types() if (include.source in ("*", k) or include.wildcard) and (x := self.targets(k, fresh.where(F.col("resourceType") == k), include)) is not None]
-            if not onward:
+        return self.reached(source, page, include) if include.iterate else self.targets(source, page, include)
+
+    def reached(self, source: str, page: DataFrame, include: Include) -> DataFrame | None:
+        """The rounds of :iterate. Each is one query over the edges of the types that the last one reached; its ids, at most
+        INCLUDE_CAP in all rounds, the first by type and id, come to the driver, so that no plan holds that of the round before."""
+        spark, seen = page.sparkSession, set()
+        fresh = {source: [r["id"] for r in page.select("id").collect()]}  # at most MAX_COUNT
+        for _ in range(ITERATE_DEPTH):
+            parts = []
+            for kind, ids in fresh.items():
+                if (include.wildcard or include.source in ("*", kind)) and (edges := self.edges(kind, include)) is not None:
+                    sources = spark.createDataFrame([(i,) for i in ids], "resourceId string")
+                    parts.append(edges.join(F.broadcast(sources), "resourceId", "left_semi").select("targetType", "targetId"))
+            if not parts or len(seen) >= INCLUDE_CAP:
                 break
-            fresh = reduce(DataFrame.unionByName, onward).join(seen.select("resourceType", "id"), ["resourceType", "id"], "left_anti")
-            seen = seen.unionByName(fresh)
-        return seen
+            found = reduce(DataFrame.unionByName, parts).where(F.col("targetType").isin(self.catalog.types())).distinct()
+            found = found.orderBy("targetType", "targetId").limit(INCLUDE_CAP + len(seen)).collect()
+            new = [(r["targetType"], r["targetId"]) for r in found if (r["targetType"], r["targetId"]) not in seen][: INCLUDE_CAP - len(seen)]
+            seen |= set(new)
+            fresh = {kind: [i for k, i in new if k == kind] for kind in sorted({k for k, _ in new})}
+        kinds = sorted({k for k, _ in seen})
+        parts = [self.content(kind, spark.createDataFrame([(i,) for k, i in sorted(seen) if k == kind], "id string")) for kind in kinds]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def reverse(self, resource_type: str, page: DataFrame, include: Include) -> DataFrame | None:
         """_revinclude: resources of the source type that refer to rows of the page."""

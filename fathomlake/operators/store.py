@@ -1,8 +1,8 @@
-"""A versioned store: an append-only log of resource versions for each type, in Parquet.
+"""A versioned store: an append-only log of resource versions in Parquet.
 
-Every write is one append of a batch, which Spark's committer makes visible at once. The current state of a type is the latest
-version of each id; `compact` writes it with its search columns, reference edges and lookup rows, and later reads index only what was
-appended since. One writer at a time.
+Every write, of however many resources and types, is one new file of the log, which appears as a whole or not at all. The current
+state of a type is the latest version of each id. `compact` writes that with its search columns, reference edges and lookup
+rows; later reads take them from there and index only what was appended since. One writer at a time.
 """
 
 from __future__ import annotations
@@ -12,9 +12,8 @@ import uuid
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..errors import Gone, NotFound, PreconditionFailed, VersionConflict
 from ..functions import extract
@@ -24,6 +23,9 @@ from ..plans.registry import Registry
 from ..sources.frames import Catalog, ResourceFrame
 from .search import Searcher
 
+#: Shares of the ids in which a bulk load counts its versions.
+SHARES = 4096
+TOUCHED = "resourceType string, id string, versionSeq long"
 LOG = "versionSeq long, id string, versionId string, content string, lastUpdated string, deleted int, versionNumber int"
 
 
@@ -41,21 +43,43 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, registry: Registry, *, clock: Callable[[], str] = now, new_id: Callable[[], str] = lambda: str(uuid.uuid4())):
         self.spark, self.root, self.registry, self.clock, self.new_id = spark, root.rstrip("/"), registry, clock, new_id
 
-    def path(self, resource_type: str) -> str:
-        return f"{self.root}/{resource_type}/log"
+    @property
+    def path(self) -> str:
+        return f"{self.root}/log"
+
+    def files(self, path: str) -> list[str]:
+        """Names in a folder, in order; none if it is absent."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
     def log(self, resource_type: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG).parquet(self.path(resource_type))
-        except AnalysisException:
+        if not self.files(self.path):
             return self.spark.createDataFrame([], LOG)
+        rows = self.spark.read.schema(LOG + ", resourceType string").parquet(self.path)
+        return rows.where(F.col("resourceType") == resource_type).drop("resourceType")
 
     def state(self, resource_type: str) -> DataFrame:
         return latest(self.log(resource_type))
 
+    def indexed(self, resource_type: str) -> DataFrame:
+        """The state with all that is derived from the contents: what was compacted, and the ids that have changed since, indexed now."""
+        log, folder = self.log(resource_type), f"{self.root}/index/{resource_type}"
+        done = [name for name in self.files(folder) if "_SUCCESS" in self.files(f"{folder}/{name}")]
+        if not done:
+            return extract.index_contents(latest(log), resource_type, self.registry)
+        kept = self.spark.read.parquet(f"{folder}/{done[-1]}")
+        newer = log.where(F.col("versionSeq") > int(done[-1]))
+        if self.files(f"{self.root}/touched"):
+            touched = self.spark.read.schema(TOUCHED).parquet(f"{self.root}/touched").where(F.col("resourceType") == resource_type)
+            newer = newer.unionByName(log.join(touched.select("id", "versionSeq").distinct(), ["id", "versionSeq"], "left_semi"))
+        changed = extract.index_contents(latest(newer), resource_type, self.registry)
+        return kept.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+
     def frame(self, resource_type: str) -> ResourceFrame:
-        """The type's tables as of now, indexed from the contents; deleted resources have no edges and no lookup rows."""
-        indexed = extract.index_contents(self.state(resource_type), resource_type, self.registry)
+        """The type's tables as of now; deleted resources have no edges and no lookup rows."""
+        indexed = self.indexed(resource_type)
         live = indexed.where("deleted = 0")
         lookups = {t: extract.lookups_from(live, t, resource_type) for t in extract.LOOKUP_SCHEMAS}
         return ResourceFrame(resource_type, indexed.drop("__edges", "__lookups"), extract.edges_from(live), lookups, history=self.log(resource_type))
@@ -97,11 +121,18 @@ class Store:
 
     # writes
 
+    def last(self, resource_type: str) -> int:
+        return self.log(resource_type).agg(F.max("versionSeq").alias("m")).first()["m"] or 0
+
     def _append(self, resource_type: str, rows: Iterable[tuple]) -> None:
         """rows: (id, versionId, content, lastUpdated, deleted, versionNumber)."""
-        start = self.log(resource_type).agg(F.max("versionSeq").alias("m")).first()["m"] or 0
-        batch = [(start + k, *r) for k, r in enumerate(rows, 1)]
-        self.spark.createDataFrame(batch, LOG).coalesce(1).write.mode("append").parquet(self.path(resource_type))
+        self.append_all({resource_type: rows})
+
+    def append_all(self, pending: dict[str, Iterable[tuple]]) -> None:
+        """Rows of several types, in one file."""
+        batch = [(start + k, *r, kind) for kind, rows in pending.items() for start in [self.last(kind)] for k, r in enumerate(rows, 1)]
+        if batch:
+            self.spark.createDataFrame(batch, LOG + ", resourceType string").coalesce(1).write.mode("append").parquet(self.path)
 
     def _stamped(self, resource: dict, id: str) -> tuple[dict, str, str]:
         version, at = self.new_id(), self.clock()
@@ -109,11 +140,16 @@ class Store:
 
     def load(self, resource_type: str, contents: DataFrame) -> None:
         """Bulk create: contents has id and content (JSON). New ids only count if absent; versions get their numbers in one job."""
-        start = self.log(resource_type).agg(F.max("versionSeq").alias("m")).first()["m"] or 0
-        fresh = contents.dropDuplicates(["id"]).join(self.state(resource_type).select("id"), "id", "left_anti")
-        # unique and increasing, not dense: dense numbers would need all rows in one order
-        rows = fresh.select((F.monotonically_increasing_id() + F.lit(start + 1)).alias("versionSeq"), "id", F.sha2(F.concat_ws("|", "id", "content"), 256).alias("versionId"), "content", F.lit(self.clock()).alias("lastUpdated"), F.lit(0).alias("deleted"), F.lit(1).alias("versionNumber"))
-        rows.write.mode("append").parquet(self.path(resource_type))
+        fresh = contents.groupBy("id").agg(F.min("content").alias("content")).join(self.state(resource_type).select("id"), "id", "left_anti")
+        self.append_rows(resource_type, fresh.select("id", F.sha2(F.concat_ws("|", "id", "content"), 256).alias("versionId"), "content", F.lit(self.clock()).alias("lastUpdated")))
+
+    def append_rows(self, resource_type: str, rows: DataFrame) -> None:
+        """First versions (id, versionId, content, lastUpdated), in one job."""
+        # unique and increasing numbers that only depend on the rows, so that a lost task gives the same again; dense ones would need one order of all
+        share = F.pmod(F.xxhash64("id"), F.lit(SHARES))
+        number = (F.row_number().over(Window.partitionBy(share).orderBy("id", "lastUpdated", "versionId")) - 1) * SHARES + share + self.last(resource_type) + 1
+        rows = rows.select(number.cast("long").alias("versionSeq"), "id", "versionId", "content", "lastUpdated", F.lit(0).alias("deleted"), F.lit(1).alias("versionNumber"), F.lit(resource_type).alias("resourceType"))
+        rows.write.mode("append").parquet(self.path)
 
     def create(self, resource_type: str, resource: dict, *, id: str | None = None, if_none_exist=None) -> tuple[dict, bool]:
         """(resource, whether it was created). if_none_exist: a query; one match is returned, several are an error."""
@@ -164,15 +200,27 @@ class Store:
             self._append(resource_type, [(r["id"], self.new_id(), r["content"], self.clock(), 1, r["versionNumber"] + 1) for r in rows])
         return len(rows)
 
-    def compact(self, resource_type: str, path: str) -> ResourceFrame:
-        """Writes the type's current tables to a folder, and reads them back: the reindexing of a whole type is this one job."""
-        frame = self.frame(resource_type)
-        frame.main.write.mode("overwrite").parquet(f"{path}/main")
-        frame.references.write.mode("overwrite").parquet(f"{path}/references")
-        for name, rows in frame.lookups.items():
-            rows.write.mode("overwrite").parquet(f"{path}/{name}")
-        read = lambda name: self.spark.read.parquet(f"{path}/{name}")
-        return ResourceFrame(resource_type, read("main"), read("references"), {t: read(t) for t in frame.lookups}, history=self.log(resource_type))
+    def compact(self, resource_type: str) -> ResourceFrame:
+        """Indexes what was appended since the last time, in one job, and reads from there. Reads go on from the folder before until it is done."""
+        seq = self.last(resource_type)
+        target = f"{self.root}/index/{resource_type}/{seq:019d}"
+        if seq and "_SUCCESS" not in self.files(target):
+            self.indexed(resource_type).sortWithinPartitions("id").write.mode("overwrite").parquet(target)
+        return self.frame(resource_type)
+
+    def reindex(self, resource_type: str, id: str) -> bool:
+        """Has one resource indexed anew by reads, as after a change of its parameters. False if it is absent or deleted."""
+        row = self._row(resource_type, id)
+        if row is None or row["deleted"]:
+            return False
+        self.spark.createDataFrame([(resource_type, id, row["versionSeq"])], TOUCHED).coalesce(1).write.mode("append").parquet(f"{self.root}/touched")
+        return True
+
+    def scan(self, resource_type: str, after: str | None = None, limit: int = 100) -> DataFrame:
+        """The next live resources by id, for work in batches: id and content."""
+        rows = self.state(resource_type).where("deleted = 0")
+        rows = rows if after is None else rows.where(F.col("id") > after)
+        return rows.select("id", "content").orderBy("id").limit(limit)
 
 
 def history_page(log: DataFrame, id: str | None = None, *, since: str | None = None, cursor: int | None = None, limit: int | None = None) -> DataFrame:

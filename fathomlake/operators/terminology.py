@@ -24,6 +24,11 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows without what they were made from, where the session has a checkpoint folder to keep them in."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows
+
+
 class Table:
     """A keyed table that is replaced as a whole by each change."""
 
@@ -31,12 +36,12 @@ class Table:
         self.keys, self.rows = keys, spark.createDataFrame([], schema)
 
     def insert(self, new: DataFrame) -> int:
-        before = self.rows.count()
-        self.rows = insert_ignore(self.rows, new.select(*self.rows.columns), self.keys)
-        return self.rows.count() - before
+        fresh = kept(insert_ignore(self.rows.limit(0), new.select(*self.rows.columns), self.keys).join(self.rows.select(*self.keys), self.keys, "left_anti"))
+        self.rows = kept(self.rows.unionByName(fresh))
+        return fresh.count()
 
     def put(self, new: DataFrame) -> None:
-        self.rows = upsert(self.rows, new.select(*self.rows.columns), self.keys)
+        self.rows = kept(upsert(self.rows, new.select(*self.rows.columns), self.keys))
 
     def where(self, **values) -> DataFrame:
         rows = self.rows
@@ -81,15 +86,14 @@ class Terminology:
     def children(self, system: str, parent: str) -> DataFrame:
         return self.concepts.where(system=system, parent=parent).orderBy("code")
 
-    def descendants(self, system: str, code: str, depth: int = 32) -> DataFrame:
-        """All concepts below one, by one join a level."""
+    def descendants(self, system: str, code: str) -> DataFrame:
+        """All concepts below one, each once, by one join a level, until a level has nothing new."""
         rows = self.concepts.where(system=system)
-        level, found = rows.where(F.col("parent") == code), rows.limit(0)
-        for _ in range(depth):
-            if level.isEmpty():
-                break
-            found = found.unionByName(level)
-            level = rows.join(level.select(F.col("code").alias("parent")), "parent", "left_semi").select(*rows.columns)
+        level, found = kept(rows.where(F.col("parent") == code)), rows.limit(0)
+        while not level.isEmpty():
+            found = kept(found.unionByName(level))
+            below = rows.join(level.select(F.col("code").alias("parent")).distinct(), "parent", "left_semi").select(*rows.columns)
+            level = kept(below.join(found.select("code"), "code", "left_anti").select(*rows.columns))
         return found
 
 

@@ -191,11 +191,11 @@ class Migrations:
 
 #: Types of the platform itself, with their search parameters: fixed values.
 PLATFORM = {
-    "User": [("email", "string", "User.email"), ("project", "reference", "User.project")],
-    "Bot": [("name", "string", "Bot.label"), ("category", "token", "Bot.category"), ("project", "reference", "Bot.project")],
-    "Project": [("name", "string", "Project.label"), ("owner", "reference", "Project.owner")],
-    "Agent": [("name", "string", "Agent.label"), ("status", "token", "Agent.status")],
-    "ClientApplication": [("name", "string", "ClientApplication.label"), ("status", "token", "ClientApplication.status")],
+    "User": [("user-email", "token", "User.contact.value"), ("display-name", "string", "User.displayName"), ("active", "token", "User.active")],
+    "Bot": [("display-name", "string", "Bot.displayName"), ("identifier", "token", "Bot.identifier"), ("status", "token", "Bot.status")],
+    "Project": [("display-name", "string", "Project.displayName"), ("identifier", "token", "Project.identifier"), ("active", "token", "Project.active")],
+    "Agent": [("display-name", "string", "Agent.displayName"), ("status", "token", "Agent.status"), ("identifier", "token", "Agent.identifier")],
+    "ClientApplication": [("display-name", "string", "ClientApplication.displayName"), ("identifier", "token", "ClientApplication.identifier"), ("status", "token", "ClientApplication.status")],
 }
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store_queries
 from .functions import extract
 from .operators.search import Searcher
 from .operators.store import history_page, latest
@@ -101,17 +102,6 @@ def a01_count(spark, sf_dir):
     return s.count(parse_search("Order", {"status": "F"}, s.registry))
 
 
-@_query("SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY s")
-def a03_group_status(spark, sf_dir):
-    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(x,) for x in "FOPX"], "status string").join(counts, "status", "left").na.fill(0, ["n"])
-
-
-@_query("SELECT user_id, max(event_id) + 1 AS next_version FROM events GROUP BY user_id")
-def a04_next_version(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg((F.max("event_id") + 1).alias("next_version"))
-
-
 def _included(spark, sf_dir, kind, query):
     s = _searcher(spark, sf_dir)
     request = parse_search(kind, query, s.registry)
@@ -158,12 +148,6 @@ def x05_token_strings(spark, sf_dir):
     return o.select("o_orderkey", F.explode(extract.token_strings(F.lit("urn:status"), F.col("o_orderstatus"))).alias("token"))
 
 
-@_query("SELECT c_custkey, split_part(c_name, '#', 2) || ' ' || split_part(c_name, '#', 1) AS sort_text FROM customer")
-def x07_sort_string(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select("c_custkey", extract.name_sort(F.substring_index("c_name", "#", -1), F.substring_index("c_name", "#", 1)).alias("sort_text"))
-
-
 @_query("SELECT CAST(o_orderkey AS VARCHAR) AS resourceId, 'Customer' AS targetType, CAST(o_custkey AS VARCHAR) AS targetId FROM orders")
 def x14_reference_edges(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -212,32 +196,12 @@ def w06_latest_version(spark, sf_dir):
     return latest(_versions(spark, sf_dir)).select("id", "versionSeq")
 
 
-@_query(f"SELECT id, versionSeq FROM ({_LATEST}) WHERE r = 1 AND event_type <> 'error'")
-def w05_soft_delete(spark, sf_dir):
-    return latest(_versions(spark, sf_dir)).where("deleted = 0").select("id", "versionSeq")
-
-
 @_query("SELECT DISTINCT p_brand AS code, 'brand' AS system, min(p_type) OVER (PARTITION BY p_brand) AS display FROM part WHERE p_brand <> 'Brand#13' UNION ALL SELECT 'Brand#13', 'brand', 'first'")
 def t01_insert_ignore(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("brand").alias("system"), F.col("p_brand").alias("code"), F.col("p_type").alias("display"))
     return insert_ignore(spark.createDataFrame([("brand", "Brand#13", "first")], "system string, code string, display string"), p, ["system", "code"])
 
 
-@_query("SELECT o_orderkey, n_name AS display FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-def t02_lookup(spark, sf_dir):
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    codes = read("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("display"))
-    return read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(codes, "c_nationkey").select("o_orderkey", "display")
-
-
-@_query("SELECT n_name AS code, r_name AS parent, 1::INTEGER AS level FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, NULL, 0 FROM region")
-def t04_concept_tree(spark, sf_dir):
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    regions = read("region")
-    below = read("nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("code"), F.col("r_name").alias("parent"), F.lit(1).alias("level"))
-    return below.unionByName(regions.select(F.col("r_name").alias("code"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
-
-
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st_tumbling_counts(spark, sf_dir):
     return window_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), by=["event_type"]).select(F.col("window.start").alias("start"), "event_type", "n")
@@ -255,8 +219,8 @@ def flagship_search(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | store_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | store_queries.oracle_sql()

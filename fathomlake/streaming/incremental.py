@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.store import LOG, Store
+from ..operators.store import Store
 
 
 def load_stream(store: Store, resource_type: str, contents: DataFrame, checkpoint: str):
@@ -13,10 +13,8 @@ def load_stream(store: Store, resource_type: str, contents: DataFrame, checkpoin
     appended twice: its rows' version ids are hashes, and those that the log has are left out."""
 
     def append(batch: DataFrame, number: int) -> None:
-        log = store.log(resource_type)
-        start = log.agg(F.max("versionSeq").alias("m")).first()["m"] or 0
-        rows = batch.select((F.monotonically_increasing_id() + F.lit(start + 1)).alias("versionSeq"), "id", F.sha2(F.concat_ws("|", "id", "lastUpdated", "content"), 256).alias("versionId"), "content", "lastUpdated", F.lit(0).alias("deleted"), F.lit(1).alias("versionNumber"))
-        rows.dropDuplicates(["id", "versionId"]).join(log.select("id", "versionId"), ["id", "versionId"], "left_anti").select(*[c.split()[0] for c in LOG.split(", ")]).write.mode("append").parquet(store.path(resource_type))
+        rows = batch.select("id", F.sha2(F.concat_ws("|", "id", "lastUpdated", "content"), 256).alias("versionId"), "content", "lastUpdated").dropDuplicates(["id", "versionId"])
+        store.append_rows(resource_type, rows.join(store.log(resource_type).select("id", "versionId"), ["id", "versionId"], "left_anti"))
 
     return contents.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -102,7 +102,7 @@ def test_store_and_search(store, registry, spark):
     result = s.search(request)
     assert result.included.count() == 2 and [r["id"] for r in result.page.select("id").collect()] == [q["id"], p["id"]]
     assert [r["id"] for r in s.page_in_two_phases(request).select("id").collect()] == [q["id"], p["id"]] and len(list(stream(store.frame("Patient").main))) == 2
-    frame = store.compact("Patient", store.root + "/compact")
+    frame = store.compact("Patient")
     assert frame.main.count() == 2 and frame.lookups["HumanName"].count() == 3
 
 
@@ -198,3 +198,33 @@ def test_streaming(spark, store, tmp_path):
     q = window_counts(spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001").selectExpr("cast(ts as timestamp) ts"), size="1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("w").agg({"n": "sum"}).first()[0] == 1000
+
+
+def test_reads_after_compaction_and_reindexing(store):
+    for k in range(3):
+        store.create("Patient", PATIENT, id=f"p{k}")
+    store.compact("Patient")
+    store.update("Patient", PATIENT | {"id": "p1", "gender": "other"}, upsert=True)
+    store.delete("Patient", "p2")
+    assert store.reindex("Patient", "p0") and not store.reindex("Patient", "p2") and not store.reindex("Patient", "none")
+    frame = store.frame("Patient")
+    assert sorted(r["id"] for r in frame.live().select("id").collect()) == ["p0", "p1"] and frame.main.count() == 3
+    assert sorted(r["id"] for r in store.compact("Patient").live().select("id").collect()) == ["p0", "p1"]
+    assert [r["id"] for r in store.scan("Patient", "p0", 5).collect()] == ["p1"]
+
+
+def test_paths_of_expressions():
+    from fathomlake.functions.extract import path_of
+
+    assert path_of("Patient.a.where(x='1').b.where(y).c", "Patient") == ["a", "b", "c"]
+    assert path_of("(Observation.value as Quantity)", "Observation") == ["value"] and path_of("Other.a | Patient.name[0].given", "Patient") == ["name", "given"]
+    assert path_of("Other.a", "Patient") is None
+
+
+def test_concepts_below_are_found_once_at_any_depth(spark):
+    from fathomlake.operators.terminology import CONCEPTS, Terminology
+
+    t = Terminology(spark)
+    chain = [("s", f"c{k}", f"c{k - 1}" if k else "c5", None, k) for k in range(6)]  # a circle
+    t.concepts.put(spark.createDataFrame(chain, CONCEPTS))
+    assert sorted(r["code"] for r in t.descendants("s", "c0").collect()) == [f"c{k}" for k in range(6)]
