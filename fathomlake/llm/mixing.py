@@ -151,7 +151,7 @@ def rate(prefix: str, v: list[float], least: float, most: float) -> Column:
     return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), sum((F.col(f"{prefix}{i}") * x for i, x in enumerate(v)), F.lit(1.0))))
 
 
-def fit_rates(scored: DataFrame, targets: list[float], prefix: str, *, least: float = 0.0, most: float = math.inf, steps: int = 100, tolerance: float = 1e-4) -> tuple[list[float], list[float]]:
+def fit_rates(scored: DataFrame, targets: list[float], prefix: str, *, least: float = 0.0, most: float = math.inf, steps: int = 40, tolerance: float = 1e-4) -> tuple[list[float], list[float]]:
     """Multipliers v for which the rates 1 + posteriors . v, projected to least .. most, meet the targets; and the expected totals.
 
     Projected gradient descent on the squared residual of the domains' expected tokens, over one rate for each document. The
@@ -175,7 +175,7 @@ def fit_rates(scored: DataFrame, targets: list[float], prefix: str, *, least: fl
             break
         v = [x + (b - a) / t if t > 0 else x for x, a, b, t in zip(v, now, targets, start, strict=True)]
         before, now = now, totals(v)
-        if max(abs(a - b) for a, b in zip(now, before, strict=True)) < tolerance * scale / 100:
+        if max(abs(a - b) for a, b in zip(now, before, strict=True)) < tolerance * scale / 20:
             break
     return v, now
 

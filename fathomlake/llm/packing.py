@@ -64,7 +64,7 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, *,
 
     A document longer than the largest capacity is cut into pieces of that size and a rest. Documents without tokens (null
     or empty texts) get no row, as does an empty table. Documents are dealt evenly to shards of about shard_tokens by a hash
-    of id and content, each shard is packed by itself, and bin_id holds the shard, so no bin is shared. Repeated rows are packed each. Other
+    of their rows' places, each shard is packed by itself, and bin_id holds the shard, so no bin is shared. Repeated rows are packed each. Other
     columns are left out.
     """
     capacities = tuple(sorted(set(capacities)))
@@ -72,13 +72,13 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, *,
     lengths = docs.select(F.col(id_col).alias("__id"), (n_words(F.col(text_col)) if length is None else length.cast("long")).alias("__n")).where(F.col("__n") > 0)
     from .cluster import saved
 
-    lengths = saved(lengths)
+    lengths = saved(lengths).withColumn("__row", F.monotonically_increasing_id())
     total = lengths.agg(F.sum("__n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_tokens))
     whole = F.floor((F.col("__n") + most - 1) / most).cast("int")
     dealt = lengths.withColumn("__piece", F.explode(F.sequence(F.lit(0), whole - 1)))
-    # long documents' pieces go to shards of their own choosing, so that no shard grows with one document
-    dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64("__id", "__n", "__piece"), F.lit(shards)).cast("long"))
+    # by row (in the order that is saved) and piece, so that no shard grows with one document or one id
+    dealt = dealt.withColumn("__shard", F.pmod(F.xxhash64("__row", "__piece"), F.lit(shards)).cast("long"))
     dealt = dealt.withColumn("__size", F.least(F.col("__n") - F.col("__piece").cast("long") * most, F.lit(most)))
 
     def pack(table: pa.Table) -> pa.Table:

@@ -76,13 +76,13 @@ def exact_top_k(vectors: DataFrame, k: int = 20, *, id_col: str = "vec_id", vect
     products with rows of other ids, of all rows; ties go to the smaller id, and all are returned if they are fewer than k.
 
     Vectors that are null, or hold null or non-finite components, take no part, nor do null ids; vectors only meet those of
-    their own dimension. Of rows with the same id, each is a candidate and one is the query. Other columns are
-    left out. Blocks of queries meet blocks of rows by a join on the query block's number; a block's best are merged by query.
+    their own dimension. Of rows that share an id, each is a candidate for other ids, and the one with the least vector is the query.
+    An empty table gives an empty result; other columns are left out. Blocks of queries meet blocks of rows by a join on the query block's number; a block's best are merged by query.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     ok = F.forall("v", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     v = saved(v.where(ok & (F.size("v") > 0)).select("id", quantised(F.col("v"), scale).cast("array<double>").alias("v"), F.size("v").alias("dim")))
-    asked = v.where(F.pmod("id", F.lit(query_every)) == 0).dropDuplicates(["id", "dim"])
+    asked = v.where(F.pmod("id", F.lit(query_every)) == 0).groupBy("id", "dim").agg(F.min("v").alias("v"))
     n, m = v.count(), asked.count()
     parts, shares = max(8, -(-n // ROWS)), max(1, -(-m // QUERIES))
     by = lambda c, count: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(count)).cast("long")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Host, path, verdict. A rule holds for its host and all subdomains and for every path that begins with its own.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: Rules up to this number are broadcast (at some 200 bytes a rule, 20 MB); more are joined by a shuffle.
-BROADCAST_RULES = 100_000
+#: Rules of up to so many bytes (with their digests) are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -42,9 +42,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     rule fits. Repeated rows keep their number; other columns are left out; an empty table gives an empty result.
     """
     spec = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).na.drop()
-    shape = spec.agg(F.collect_set(F.size(F.split("r_host", "\\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("chars"), F.count("*").alias("n")).first()
+    shape = spec.agg(F.collect_set(F.size(F.split("r_host", "\\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("chars"), F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 200).alias("bytes")).first()
     keyed = spec.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("r_key", F.substring("r_digest", 1, hash_chars))
-    keyed = F.broadcast(keyed) if shape["n"] <= BROADCAST_RULES else keyed
+    keyed = F.broadcast(keyed) if (shape["bytes"] or 0) <= BROADCAST_BYTES else keyed
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url")).groupBy("__id", "__url").agg(F.count("*").alias("__n"))
     rows = rows.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url")))
     labels = F.split("host", "\\.")
@@ -52,9 +52,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     prefixes = F.transform(F.filter(F.array(*[F.lit(k) for k in sorted(shape["chars"])] or [F.lit(-1)]), lambda k: (k >= 0) & (k <= F.length("path"))), lambda k: F.substring(F.col("path"), F.lit(1), k))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
     asked = rows.withColumn("__e", F.explode_outer(expressions)).withColumn("__digest", digest(F.col("__e.h"), F.col("__e.p"))).withColumn("__key", F.substring("__digest", 1, hash_chars))
-    met = asked.join(keyed, (F.col("__key") == F.col("r_key")) & (F.col("__digest") == F.col("r_digest")), "left")
+    met = asked.join(keyed, F.col("__key") == F.col("r_key"), "left")
+    meant = F.col("__digest") == F.col("r_digest")  # the prefix only retrieves
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("a"), F.length("r_host").alias("b"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule"))
-    best = met.groupBy("__id", "__url", "host", "path", "__n").agg(F.max(F.when(F.col("r_host").isNotNull(), rank)).alias("__best"))
+    best = met.groupBy("__id", "__url", "host", "path", "__n").agg(F.max(F.when(meant, rank)).alias("__best"))
     out = best.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
     return out.select(F.col("__id").alias(id_col), "host", "path", F.col("__best.rule").alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(default)).alias("verdict"))
 

@@ -327,6 +327,10 @@ def test_url_rules(spark):
         (10, "", "", None, "allow"): 1,
     }
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), urls.rule_table(spark)).collect() == []
+    table = spark.createDataFrame([(*x, "a", "b", "c") for x in asked] + [(11, "http://x.org/" + "y/" * 50_000, "a", "b", "c")], "page_id long, url string, host string, r_key string, __digest string")
+    crowded = urls.rule_table(spark, [*urls.RULES, *((f"h{k}.net", f"/p{k % 7}/", "block") for k in range(300))])
+    short = collections.Counter((r["page_id"], r["host"], len(r["path"]), r["rule"]) for r in urls.judge_urls(table, crowded, hash_chars=1).collect())  # every prefix collides
+    assert short == collections.Counter({(i, h, len(p), r): n for (i, h, p, r, _), n in got.items()}) + collections.Counter({(11, "x.org", 100_001, "org/"): 1})
     assert urls.judge_urls(spark.createDataFrame(asked, "page_id long, url string"), urls.rule_table(spark, [])).where("rule is not null").collect() == []
 
 
@@ -465,6 +469,36 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect() == []
 
 
+def test_shards_split_a_repeated_document(spark):
+    docs = spark.createDataFrame([(None, "w " * 90, 1, "x")] * 300, "doc_id long, text string, bin_id int, __row string")
+    out = packing.pack_documents(docs, shard_tokens=3000).collect()
+    assert len({r["bin_id"] >> 32 for r in out}) > 5 and sum(r["n_tokens"] for r in out) == 27_000
+    assert packing.pack_documents(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("capacities", [(512, 700, 1000), (64,), (16, 64, 256)])
+def test_best_fit_equals_a_search_of_all_bins(capacities):
+    rng = random.Random(9)
+    for n in (0, 1, 40, 200):
+        sizes = np.array([rng.randint(1, capacities[-1]) for _ in range(n)], np.int64)
+        rooms, fills, left = [], [], int(sizes.sum())
+        for s in sorted(sizes.tolist(), reverse=True):
+            left -= s
+            if fit := [b for b in range(len(rooms)) if rooms[b] >= s]:
+                b = min(fit, key=lambda b: rooms[b])
+            else:
+                b = len(rooms)
+                fills.append(0)
+                # least cost a token if all that is free beside it were filled by what is still to come
+                rooms.append(min((c for c in capacities if c >= s), key=lambda c: ((c + 32) / (s + min(c - s, left)), c)))
+            rooms[b], fills[b] = rooms[b] - s, fills[b] + s
+        bins, offsets, room = packing.best_fit(sizes, capacities, 32)
+        got = [int(sizes[bins == b].sum()) for b in range(len(room))]
+        assert sorted(got) == sorted(fills) and room.tolist() == [min(c for c in capacities if c >= f) for f in got]
+        for b in range(len(room)):  # no two items share a place
+            assert sorted((int(o), int(o + s)) for o, s in zip(offsets[bins == b], sizes[bins == b], strict=True)) == list(itertools.pairwise([0, *np.cumsum(sizes[bins == b][np.argsort(offsets[bins == b])]).tolist()]))
+
+
 def test_best_fit_takes_the_bin_with_least_room():
     bins, offsets, room = packing.best_fit(np.array([880, 600, 110]), (512, 700, 1000), 0)
     assert bins.tolist() == [0, 1, 0] and offsets.tolist() == [0, 0, 880] and room.tolist() == [1000, 700]
@@ -482,6 +516,9 @@ def test_exact_top_k_equals_brute_force(spark):
         want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
     got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")).collect())
     assert got == sorted(want)
+    twice = spark.createDataFrame([(20, [1.0, 2.0]), (20, [0.5, 2.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.exact_top_k(twice).collect()] == [(20, 1, 3, 32 * 64 + 128 * 64), (20, 2, 3, 32 * 64 + 128 * 64)]
+    assert topk.exact_top_k(twice.limit(0)).collect() == []
     large = topk.best(np.array([[1e9] * 2]), np.array([0]), np.array([[1e9, 1e9 + 1], [1, 2]]), np.array([1, 2]), 1)
     assert [x.tolist() for x in large[:2]] == [[0], [1]]
 
