@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import blobs
 from .blobs import U64, mix, pack, unpack
 from .cluster import saved
-from .repeats import BATCHES, BATCHES_PER_BUCKET, BITS, BLOB, COUNTS, Batch, messages, rows, stretches
+from .repeats import BITS, BLOB, COUNTS, Batch, dealt, messages, rows, stretches
 
 BANDS, ROWS = 16, 4
 #: Representatives of a bucket that are compared by their samples in one task.
@@ -367,7 +367,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows_per_band: int = ROWS, batch_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows_per_band: int = ROWS, batch_bytes: int = 2 << 20) -> DataFrame:
     """id and class_id, the smallest id of its class.
 
     Similarity is the weighted Jaccard of TF-IDF weights over distinct shingles of `width` words (a shorter text is one shingle).
@@ -379,8 +379,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull())
     whole = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n_docs = max(1, whole["n"])
-    n = max(BATCHES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(whole["bytes"] or 0) // batch_bytes))
-    buckets = n // BATCHES_PER_BUCKET
+    n, buckets = dealt(spark, whole["bytes"] or 0, batch_bytes)
     batched = docs.withColumn("__batch", F.pmod(F.xxhash64("doc", F.lit(7)), F.lit(n)).cast("long"))
     load = lambda table: Batch(table, "doc", "text", "word")
 

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,8 @@ CHUNK = 1 << 16
 HOT = 1024
 #: Units in an index.
 SHARD = 1 << 17
-#: Batches to a shuffle partition at least, so that partitions are even, and batches to a bucket.
-BATCHES, BATCHES_PER_BUCKET = 4, 2
+#: Batches to a bucket: a round has up to batches x buckets messages, each of one item at least.
+BATCHES_PER_BUCKET = 3
 #: Bits of an anchor's hash that are not sent.
 SHIFT = U64(24)
 #: Kinds of messages.
@@ -50,6 +50,13 @@ COUNTS, BITS, LISTED, ASKED, CONTENT, WHOLE, PARTS, HOT_KEYS = range(8)
 Index = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
+def dealt(spark: SparkSession, size: int, batch_bytes: int) -> tuple[int, int]:
+    """Batches of about batch_bytes and buckets for an input of a size, of each at least one to a shuffle partition."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = max(partitions, -(-size // batch_bytes))
+    return batches, max(partitions, batches // BATCHES_PER_BUCKET)
+
+
 @dataclass(frozen=True)
 class Plan:
     unit: str  # "byte" or "word"
@@ -432,7 +439,7 @@ def cut(b: Batch, found: pa.Table, carried: list[str], schema: pa.Schema, p: Pla
     return pa.Table.from_arrays([columns[f.name].cast(f.type) if f.name != "spans" else columns[f.name] for f in schema], names=schema.names)
 
 
-def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gram: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gram: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """Every row of docs with n_units, n_removed, spans (removed stretches, in units) and kept (binary for bytes, string for words).
 
     All windows are judged on the input. A null text is empty; a row whose id is null keeps all and makes no other row
@@ -446,8 +453,8 @@ def remove_repeats(docs: DataFrame, index: Index, *, unit: str, length: int, gra
     carried = [c for c in docs.columns if c not in ("n_units", "n_removed", "spans", "kept")]
     docs = docs.select(*carried)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    n = max(BATCHES * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // batch_bytes))
-    p = Plan(unit, length, gram, n // BATCHES_PER_BUCKET, index)
+    n, buckets = dealt(spark, size, batch_bytes)
+    p = Plan(unit, length, gram, buckets, index)
     tag = next(c for c in (f"__batch{i}" for i in range(len(carried) + 1)) if c not in carried)
     batched = docs.withColumn(tag, F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(7)), F.lit(n)).cast("long"))
     blob_type = "bucket long, batch long, kind int, blob binary"
