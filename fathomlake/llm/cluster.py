@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset and the driver is all there is, as in tests."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     have = context._jsc.sc().getCheckpointDir()
     if found is None and not have.isEmpty():
         return have.get()
+    if found is None and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     found = found or tempfile.mkdtemp(prefix="checkpoints-")
     if have.isEmpty():
         context.setCheckpointDir(found)
