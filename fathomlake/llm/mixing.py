@@ -125,13 +125,14 @@ def displaced(places: dict[int, int]) -> tuple[list[int], list[int]]:
 
 def with_posteriors(docs: DataFrame, prior: list[float], table: dict[int, list[float]], *, text_col: str, buckets: int, prefix: str) -> DataFrame:
     """docs with <prefix>n (words) and <prefix>0, <prefix>1, ...: the posteriors. A word bucket counts once a document."""
-    words = [f for f in table if f < buckets]
-    out = docs.withColumn(prefix + "w", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "w").cast("long"))
-    out = out.withColumn(prefix + "f", F.concat(F.array_intersect(F.col(prefix + "w"), constants(words, "int")), signs(F.col(text_col), F.col(prefix + "w"), buckets)))
     shifts, places = displaced({f: i for i, f in enumerate(table)})
-    shift, place = constants(shifts, "int"), constants(places, "int")
-    row = lambda f: F.floor(f / ROW).cast("int")
-    out = out.withColumn(prefix + "p", F.transform(prefix + "f", lambda f: F.get(place, F.get(shift, row(f)) + f % ROW)))
+    keys = list(table)
+    shift, place, owner = constants(shifts, "int"), constants(places, "int"), constants([keys[i] if i >= 0 else -1 for i in places], "int")
+    slot = lambda f: F.get(shift, F.floor(f / ROW).cast("int")) + f % ROW
+    out = docs.withColumn(prefix + "w", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "w").cast("long"))
+    telling = F.filter(F.array_distinct(prefix + "w"), lambda f: F.get(owner, slot(f)) == f)  # the work doesn't grow with the table
+    out = out.withColumn(prefix + "f", F.concat(telling, signs(F.col(text_col), F.col(prefix + "w"), buckets)))
+    out = out.withColumn(prefix + "p", F.transform(prefix + "f", lambda f: F.get(place, slot(f))))
     for k in range(1, len(prior)):
         weight = constants([round(odds[k], 6) for odds in table.values()], "double")
         out = out.withColumn(f"{prefix}s{k}", F.lit(prior[k]) + F.aggregate(F.col(prefix + "p"), F.lit(0.0), _adder(weight)))
