@@ -28,7 +28,7 @@ SMOOTHING = 8.0
 #: Least G statistic of a word bucket between a domain and the others: chance reaches it once in 1,000 buckets.
 EVIDENCE = 10.83
 
-#: Features in a row of the table of their places.
+#: Features in a row of the table of their places: a power of two.
 ROW = 512
 #: Log odds of a domain that no labelled document shows: its posteriors are 0.
 UNKNOWN = -1e6
@@ -128,7 +128,7 @@ def with_posteriors(docs: DataFrame, prior: list[float], table: dict[int, list[f
     shifts, places = displaced({f: i for i, f in enumerate(table)})
     keys = list(table)
     shift, place, owner = constants(shifts, "int"), constants(places, "int"), constants([keys[i] if i >= 0 else -1 for i in places], "int")
-    slot = lambda f: F.get(shift, F.floor(f / ROW).cast("int")) + f % ROW
+    slot = lambda f: F.get(shift, F.shiftright(f, ROW.bit_length() - 1)) + f.bitwiseAND(F.lit(ROW - 1))
     out = docs.withColumn(prefix + "w", word_buckets(F.col(text_col), buckets)).withColumn(prefix + "n", F.size(prefix + "w").cast("long"))
     telling = F.filter(F.array_distinct(prefix + "w"), lambda f: F.get(owner, slot(f)) == f)  # the work doesn't grow with the table
     out = out.withColumn(prefix + "f", F.concat(telling, signs(F.col(text_col), F.col(prefix + "w"), buckets)))
