@@ -560,3 +560,79 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and {r["bin_capacity"] for r in out} <= set(packing.CAPACITIES)
     assert len({(r["bin_id"], r["bin_offset"]) for r in out}) == len(out)
+
+
+def pipeline_rows(seed=4):
+    """Documents for each stage's decisions: clean ones, some that the rules reject, copies and near copies, shared passages, nulls and repeats."""
+    rng = random.Random(seed)
+    stop = quality.STOP_WORDS["en"].split()
+    vocabulary = [f"{a}{b}ing" for a in ("gar", "mel", "tor", "wis", "bel", "con") for b in ("ap", "or", "ul", "ent", "isk", "om", "ad")]
+    text = lambda k: " ".join(rng.choice(vocabulary if rng.random() < 0.8 else stop) for _ in range(k))
+    passage, rows = text(30), []
+    for i in range(60):
+        t = text(rng.randint(80, 300))
+        if i % 5 == 1:
+            t = t + "\n" + passage + " " + text(10)
+        if i % 5 == 2:
+            t = rows[rng.randrange(len(rows))][1]
+        if i % 5 == 3:
+            w = rows[rng.randrange(len(rows))][1].split()
+            w[rng.randrange(len(w))] = "changed"
+            t = " ".join(w)
+        rows.append((i * 2 + 1, t))
+    rows += [(500, None), (501, ""), (502, text(20)), (503, "# " * 60 + text(60)), (504, "gar mel tor " * 40), (505, text(6000)), (9, rows[4][1])]
+    return [(i, t, "en", "web", len(t or "")) for i, t in rows]
+
+
+def passes_rules(text):
+    t = text or ""
+    w = WORD.findall(t)
+    g = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    many = collections.Counter(g)
+    repeated = len({k + j for k, x in enumerate(g) if many[x] > 1 for j in range(3)})
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    stop = set(quality.stop_words())
+    return (
+        len(w) >= 50 and 2 * repeated <= len(w) and 2 * len(w) <= sum(map(len, w)) <= 15 * len(w)
+        and 10 * sum(c in "#*$%&|<>" for c in t) <= len(w) and 25 * sum(x in stop for x in w) >= len(w) and 5 * (len(lines) - len(set(lines))) <= 2 * len(lines)
+    )
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, folder = pipeline_rows(), str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], int(k % 4 > 0), int(k % 7 == 0)) for k, r in enumerate(rows[:40])], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+        after = spark.read.parquet(f"{folder}/{name}")
+        assert name == "packing" or after.columns == docs.columns
+        docs = after
+        kept.append([tuple(r) for r in after.collect()])
+    ruled, single, cut, mixed, packed = kept
+
+    assert sorted(ruled) == sorted(r for r in rows if passes_rules(r[1]))  # repeats stay, and columns
+    classes = jaccard_classes([r[:2] for r in ruled])
+    assert len(set(classes.values())) < len(classes)
+    # rows that share the id of a class's first document are all kept
+    assert sorted(single) == sorted(r for r in ruled if classes[r[0]] == r[0])
+    gone = removed(sorted({r[:2] for r in single}), WORD.findall, 13)  # a repeated row holds what its twin does
+    texts = {i: " ".join(k) for i, (_, _, k) in gone.items()}
+    assert any(n for _, n, _ in gone.values())
+    assert sorted(cut) == sorted((i, texts[i], a, b, len(texts[i])) for i, _, a, b, _ in single if texts[i])
+    copies = collections.Counter(mixed)
+    assert set(copies) == set(cut) and sum(copies.values()) > len(cut)  # every document at least once, none changed
+    rates = mixing.mixing_rates(spark.read.parquet(f"{folder}/substring dedup"), spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    equal = collections.Counter(cut)  # rows that are repeated are copied each
+    assert all(abs(copies[t] / equal[t] - r["rate"]) < 1 for r in rates for t in [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars"))])
+    most = packing.CAPACITIES[-1]
+    pieces = collections.Counter((i, k // most, k, min(most, n - k)) for i, t, *_ in mixed for n in [len(WORD.findall(t))] for k in range(0, n, most))
+    assert collections.Counter(r[:4] for r in packed) == pieces and max(p[1] for p in pieces) > 0
+    used = collections.defaultdict(list)
+    for *_, n, bin_id, capacity, offset in packed:
+        used[bin_id, capacity].append((offset, n))
+    for (_, capacity), spans in used.items():
+        spans.sort()
+        assert [o for o, _ in spans] == list(itertools.accumulate([0, *(n for _, n in spans[:-1])]))
+        assert capacity == min(c for c in packing.CAPACITIES if c >= sum(n for _, n in spans))
