@@ -240,6 +240,12 @@ def token_hash(system: Column, code: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
+def shared_tokens(*tokens: Column) -> Column:
+    """The tokens of several array columns as one array; null if there are none."""
+    found = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in tokens])
+    return F.when(F.size(found) > 0, found)
+
+
 def name_sort(family: Column, given: Column) -> Column:
     return F.concat_ws(" ", family, given)
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.extract import reference_edges, wildcard_references
 from ..plans.compiler import Compiler, apply
 from ..plans.model import Include, SearchRequest
 from ..plans.registry import Registry
@@ -82,12 +83,26 @@ class Searcher:
             edges = edges.where(F.col("code") == include.code)
         return edges.where(F.col("targetType") == include.target) if include.target else edges
 
+    def references(self, source: str, ids: DataFrame, include: Include) -> DataFrame | None:
+        """targetType, targetId of what an include follows from ids (column id; at most a page or INCLUDE_CAP). A wildcard also follows references
+        at any depth of their contents, whether or not a parameter indexes them; no other contents are searched for those."""
+        ids = F.broadcast(ids.select(F.col("id").alias("resourceId")).distinct())
+        edges = self.edges(source, include)
+        if edges is not None:
+            edges = edges.join(ids, "resourceId", "left_semi").select("targetType", "targetId")
+        if not include.wildcard or (frame := self.catalog.find(source)) is None:
+            return edges
+        contents = frame.live().select(F.col("id").alias("resourceId"), "content").join(ids, "resourceId", "left_semi")
+        found = contents.select(F.explode(wildcard_references(F.col("content"))).alias("r")).select(reference_edges(F.col("r")).alias("e")).where(F.col("e").isNotNull()).select("e.*")
+        if include.target:
+            found = found.where(F.col("targetType") == include.target)
+        return found if edges is None else edges.unionByName(found)
+
     def targets(self, source: str, sources: DataFrame, include: Include) -> DataFrame | None:
         """What rows of a type (column id) refer to: resourceType, id, content."""
-        edges = self.edges(source, include)
-        if edges is None:
+        reached = self.references(source, sources, include)
+        if reached is None:
             return None
-        reached = edges.join(F.broadcast(sources.select(F.col("id").alias("resourceId")).distinct()), "resourceId", "left_semi")  # a page's ids
         kinds = [include.target] if include.target else self.target_types(source, include)
         found = [self.content(k, reached.where(F.col("targetType") == k).select(F.col("targetId").alias("id"))) for k in kinds if self.catalog.find(k)]
         return reduce(DataFrame.unionByName, found) if found else None
@@ -108,9 +123,9 @@ class Searcher:
         for _ in range(ITERATE_DEPTH):
             parts = []
             for kind, ids in fresh.items():
-                if (include.wildcard or include.source in ("*", kind)) and (edges := self.edges(kind, include)) is not None:
-                    sources = spark.createDataFrame([(i,) for i in ids], "resourceId string")
-                    parts.append(edges.join(F.broadcast(sources), "resourceId", "left_semi").select("targetType", "targetId"))
+                if include.wildcard or include.source in ("*", kind):
+                    found = self.references(kind, spark.createDataFrame([(i,) for i in ids], "id string"), include)
+                    parts += [found] if found is not None else []
             if not parts or len(seen) >= INCLUDE_CAP:
                 break
             found = reduce(DataFrame.unionByName, parts).where(F.col("targetType").isin(self.catalog.types())).distinct()

@@ -21,6 +21,7 @@ from ..plans.model import SearchRequest
 from ..plans.parser import parse_search
 from ..plans.registry import Registry
 from ..sources.frames import Catalog, ResourceFrame
+from ..sources.state import complete, names_in
 from .search import Searcher
 
 #: Shares of the ids in which a bulk load counts its versions.
@@ -48,11 +49,7 @@ class Store:
         return f"{self.root}/log"
 
     def files(self, path: str) -> list[str]:
-        """Names in a folder, in order; none if it is absent."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+        return names_in(self.spark, path)
 
     def log(self, resource_type: str) -> DataFrame:
         if not self.files(self.path):
@@ -66,11 +63,11 @@ class Store:
     def indexed(self, resource_type: str) -> DataFrame:
         """The state with all that is derived from the contents: what was compacted, and the ids that have changed since, indexed now."""
         log, folder = self.log(resource_type), f"{self.root}/index/{resource_type}"
-        done = [name for name in self.files(folder) if "_SUCCESS" in self.files(f"{folder}/{name}")]
+        done = complete(self.spark, folder)
         if not done:
             return extract.index_contents(latest(log), resource_type, self.registry)
         kept = self.spark.read.parquet(f"{folder}/{done[-1]}")
-        newer = log.where(F.col("versionSeq") > int(done[-1]))
+        newer = log.where(F.col("versionSeq") > int(done[-1].partition("-")[0]))
         if self.files(f"{self.root}/touched"):
             touched = self.spark.read.schema(TOUCHED).parquet(f"{self.root}/touched").where(F.col("resourceType") == resource_type)
             newer = newer.unionByName(log.join(touched.select("id", "versionSeq").distinct(), ["id", "versionSeq"], "left_semi"))
@@ -208,6 +205,15 @@ class Store:
             self.indexed(resource_type).sortWithinPartitions("id").write.mode("overwrite").parquet(target)
         return self.frame(resource_type)
 
+    def rebuild(self, resource_type: str) -> int:
+        """Indexes a type anew as a whole, as after a change of its parameters; the number of its resources. Reads go on from the folder before until it is done."""
+        log, folder = self.log(resource_type), f"{self.root}/index/{resource_type}"
+        seq = self.last(resource_type)
+        again = sum(name.startswith(f"{seq:019d}-") for name in self.files(folder))
+        target = f"{folder}/{seq:019d}-{again:09d}"  # after what was compacted at that version, in order of names
+        extract.index_contents(latest(log), resource_type, self.registry).sortWithinPartitions("id").write.mode("overwrite").parquet(target)
+        return self.spark.read.parquet(target).count()
+
     def reindex(self, resource_type: str, id: str) -> bool:
         """Has one resource indexed anew by reads, as after a change of its parameters. False if it is absent or deleted."""
         row = self._row(resource_type, id)
@@ -223,12 +229,13 @@ class Store:
         return rows.select("id", "content").orderBy("id").limit(limit)
 
 
-def history_page(log: DataFrame, id: str | None = None, *, since: str | None = None, cursor: int | None = None, limit: int | None = None) -> DataFrame:
+def history_page(log: DataFrame, id: str | None = None, *, since: str | None = None, cursor: int | None = None, limit: int | None = None, by: str = "versionSeq") -> DataFrame:
+    """Versions, latest first: by versionSeq, or by lastUpdated and then versionSeq."""
     if id is not None:
         log = log.where(F.col("id") == id)
     if since is not None:
         log = log.where(F.col("lastUpdated") >= since)
     if cursor is not None:
         log = log.where(F.col("versionSeq") < cursor)
-    log = log.orderBy(F.col("versionSeq").desc())
+    log = log.orderBy(*[F.col(c).desc() for c in dict.fromkeys((by, "versionSeq"))])
     return log if limit is None else log.limit(limit)

@@ -93,6 +93,10 @@ class Registry:
     def bind(self, resource_type: str, param: SearchParam) -> None:
         self._params.setdefault(resource_type, {})[param.code] = param
 
+    def declare(self, resource_type: str) -> None:
+        """A type that has tables, be it without parameters."""
+        self._params.setdefault(resource_type, {})
+
     def get(self, resource_type: str, code: str) -> SearchParam | None:
         return SPECIAL.get(code) or self._params.get(resource_type, {}).get(code)
 

@@ -116,12 +116,22 @@ class Version:
 
 
 class Packages:
-    """The packages whose definitions made the schema: at each start a package is new, changed or consistent."""
+    """The packages whose definitions made the schema: at each start a package is new, changed or consistent.
 
-    def __init__(self) -> None:
-        self.rows: list[dict] = []
-        self.versions: list[Version] = []
-        self.jobs: list[dict] = []
+    With a state (something that loads and saves a JSON value) they, the schema versions and the reindex jobs outlive the driver: each change is
+    saved at once, and a job that was running when a driver was lost is pending again.
+    """
+
+    def __init__(self, state=None) -> None:
+        self.state = state
+        kept = (state.load() if state else None) or {"rows": [], "versions": [], "jobs": []}
+        self.rows: list[dict] = kept["rows"]
+        self.versions = [Version(**v) for v in kept["versions"]]
+        self.jobs: list[dict] = [j | {"status": "pending"} if j["status"] == "running" else j for j in kept["jobs"]]
+
+    def _save(self) -> None:
+        if self.state:
+            self.state.save({"rows": self.rows, "versions": [asdict(v) for v in self.versions], "jobs": self.jobs})
 
     def active(self, name: str) -> dict | None:
         return next((r for r in self.rows if r["name"] == name and r["status"] == "active"), None)
@@ -142,46 +152,65 @@ class Packages:
         self.versions.append(Version(max((v.number for v in self.versions), default=0) + 1, f"{name}@{version}", checksum(snap), True, [asdict(d) for d in deltas]))
         for d in deltas:
             if d.kind == "REINDEX":
-                self.schedule(d.table)
+                self._schedule(d.table)
+        self._save()  # the package and its jobs at once
         return status, deltas
 
-    def schedule(self, table: str) -> dict:
+    def _schedule(self, table: str) -> dict:
         job = {"id": len(self.jobs) + 1, "table": table, "status": "pending", "processed": 0}
         self.jobs.append(job)
         return job
 
+    def schedule(self, table: str) -> dict:
+        job = self._schedule(table)
+        self._save()
+        return job
+
     def run_jobs(self, reindex) -> None:
         """reindex(table) -> number of resources."""
         for job in self.jobs:
             if job["status"] != "pending":
                 continue
             job["status"] = "running"
+            self._save()
             try:
                 job |= {"processed": reindex(job["table"]), "status": "completed"}
             except Exception as e:
                 job |= {"status": "failed", "error": str(e)}
+            self._save()
 
     def job_counts(self) -> dict[str, int]:
         return {s: sum(j["status"] == s for j in self.jobs) for s in ("pending", "running", "completed", "failed")}
 
 
 class Migrations:
-    """Numbered migrations, each (number, name, up, down); applied in order, undone in reverse."""
+    """Numbered migrations, each (number, name, up, down); applied in order, undone in reverse.
+
+    With a state (see Packages) each is noted as soon as it is done; one that raises is not.
+    """
+
+    def __init__(self, steps, state=None):
+        self.steps, self.state = sorted(steps, key=lambda s: s[0]), state
+        self.done = [tuple(d) for d in (state.load() if state else None) or []]
 
-    def __init__(self, steps):
-        self.steps, self.done = sorted(steps, key=lambda s: s[0]), []
+    def _save(self) -> None:
+        if self.state:
+            self.state.save(self.done)
 
     def up(self, state):
         for number, name, forward, _ in self.steps:
             if number not in [d[0] for d in self.done]:
                 state = forward(state)
                 self.done.append((number, name))
+                self._save()
         return state
 
     def down(self, state, to: int = 0):
         by = {s[0]: s for s in self.steps}
         while self.done and self.done[-1][0] > to:
-            state = by[self.done.pop()[0]][3](state)
+            state = by[self.done[-1][0]][3](state)
+            self.done.pop()
+            self._save()
         return state
 
     def status(self) -> dict:

@@ -188,6 +188,11 @@ def o08_type_history(spark, sf_dir):
     return history_page(_versions(spark, sf_dir), since="2024-01-02T00:00:00.000Z", limit=40).select("versionSeq", "id")
 
 
+@_query("SELECT event_id AS versionSeq, CAST(user_id AS VARCHAR) AS id FROM events WHERE user_id = 13 ORDER BY ts DESC, event_id DESC LIMIT 10")
+def o09_history_by_time(spark, sf_dir):
+    return history_page(_versions(spark, sf_dir), "13", limit=10, by="lastUpdated").select("versionSeq", "id")
+
+
 _LATEST = "SELECT CAST(user_id AS VARCHAR) AS id, event_id AS versionSeq, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events"
 
 

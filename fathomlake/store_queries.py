@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import initialize
 from .functions import extract
 from .operators import bundles, transactions
 from .operators.store import Store
@@ -292,6 +293,42 @@ def m14_platform_parameters(spark, sf_dir):
     return spark.createDataFrame([(kind, len(r.params(kind))) for kind in r.types()], "kind string, parameters int")
 
 
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS id, concat_ws('~', 'urn:key|' || c_custkey, '|' || c_custkey, 'urn:tag|' || c_mktsegment, '|' || c_mktsegment, 'urn:sec|R', '|R') AS tokens FROM customer")
+def a06_shared_tokens(spark, sf_dir):
+    rows = extract.index_contents(contents(spark, sf_dir), "Person", people())
+    return rows.select("id", F.array_join(extract.shared_tokens(F.col("__identifier"), F.col("___tag"), F.col("___security")), "~").alias("tokens"))
+
+
+@_query("WITH p AS (SELECT * FROM customer ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR) LIMIT 30) SELECT DISTINCT 'Land' AS resourceType, CAST(c_nationkey AS VARCHAR) AS id FROM p")
+def j08_include_any_depth(spark, sf_dir):
+    """References below elements that no parameter indexes."""
+    store, c = new_store(spark), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    land = F.struct(F.concat(F.lit("Land/"), F.col("c_nationkey").cast("string")).alias("reference"))
+    resource = F.struct(F.col("c_acctbal").alias("balance"), F.array(F.struct(F.struct(land.alias("inner")).alias("outer"))).alias("extension"))
+    store.load("Person", c.select(F.col("c_custkey").cast("string").alias("id"), F.to_json(resource).alias("content")))
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    store.load("Land", n.select(F.col("n_nationkey").cast("string").alias("id"), F.to_json(F.struct(F.col("n_name").alias("title"))).alias("content")))
+    s = store.searcher()
+    request = parse_search("Person", "_sort=-balance&_count=30&_include=*", s.registry)
+    return s.included(request, s.page(request)).select("resourceType", "id")
+
+
+@_query("SELECT * FROM (VALUES ('new', 0), ('consistent', 0), ('upgrade', 1)) t(status, pending) UNION ALL SELECT 'found', count(*)::INT FROM customer WHERE c_mktsegment = 'FURNITURE'")
+def m13_startup(spark, sf_dir):
+    """Three starts on one folder, each with packages read from it; the last adds a parameter, whose column is filled by its job."""
+    store, rows = new_store(spark, sf_dir), []
+    first, more = people(), people()
+    more.define("city", "string", ["Person"], "Person.address.city")
+    store.compact("Person")
+    for version, registry in (("1", first), ("1", first), ("2", more)):
+        engine = initialize(spark, store.root, registry, package="base", version=version)
+        rows.append((engine.status, engine.packages.job_counts()["pending"]))
+    assert engine.reindex() == {"pending": 0, "running": 0, "completed": 1, "failed": 0}
+    s = engine.store.searcher()
+    rows.append(("found", s.count(parse_search("Person", "city=FURNITURE", s.registry)).first()["count"]))
+    return spark.createDataFrame(rows, "status string, pending int")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

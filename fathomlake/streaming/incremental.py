@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.store import Store
+from ..operators.store import Store, latest
 
 
 def load_stream(store: Store, resource_type: str, contents: DataFrame, checkpoint: str):
@@ -19,6 +19,11 @@ def load_stream(store: Store, resource_type: str, contents: DataFrame, checkpoin
     return contents.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_versions(versions: DataFrame) -> DataFrame:
+    """The last version of each id of a stream of versions; its state is one row an id. For the output modes update and complete."""
+    return latest(versions)
+
+
 def matching(stream: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
     """Rows of a stream that a table of stored searches asks for."""
     return stream.join(stored.select(*on).distinct(), on, "left_semi")

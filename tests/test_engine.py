@@ -2,6 +2,7 @@ import itertools
 
 import pytest
 
+from fathomlake.engine import initialize
 from fathomlake.errors import Gone, NotFound, PreconditionFailed, UnknownParameter, UnsupportedModifier, VersionConflict
 from fathomlake.functions import extract
 from fathomlake.functions.observe import Cache, SearchLog
@@ -11,6 +12,9 @@ from fathomlake.operators.store import Store
 from fathomlake.plans import parser, planner, schema
 from fathomlake.plans.model import Include, SortRule
 from fathomlake.plans.registry import Registry
+from fathomlake.sources.definitions import Definitions
+from fathomlake.sources.state import State
+from fathomlake.streaming import incremental
 
 
 @pytest.fixture(scope="module")
@@ -138,7 +142,7 @@ def test_bundles(store):
     assert [e["response"]["status"] for e in mixed] == ["400", "404", "201"]
 
 
-def test_schema(registry):
+def test_schema(registry, spark):
     t = schema.table_set("Patient", registry)
     assert "__gender" in t.main.names and "compartments" in t.main.names and "CREATE TABLE" in t.ddl()["Patient_History"]
     old = schema.snapshot(registry)
@@ -228,3 +232,66 @@ def test_concepts_below_are_found_once_at_any_depth(spark):
     chain = [("s", f"c{k}", f"c{k - 1}" if k else "c5", None, k) for k in range(6)]  # a circle
     t.concepts.put(spark.createDataFrame(chain, CONCEPTS))
     assert sorted(r["code"] for r in t.descendants("s", "c0").collect()) == [f"c{k}" for k in range(6)]
+
+
+def test_state_outlives_its_driver(spark, tmp_path):
+    path = f"{tmp_path}/state"
+    r = Registry()
+    r.define("a", "string", ["T"], "T.a")
+    first = schema.snapshot(r)
+    assert schema.Packages(State(spark, path)).initialize("core", "1", first)[0] == "new"
+    assert schema.Packages(State(spark, path)).initialize("core", "1", first)[0] == "consistent"
+    r.define("b", "string", ["T"], "T.b")
+    packages = schema.Packages(State(spark, path))
+    assert packages.initialize("core", "2", schema.snapshot(r))[0] == "upgrade"
+    packages.jobs[0]["status"] = "running"  # a driver that is lost in the middle of a job
+    packages._save()
+    again = schema.Packages(State(spark, path))
+    assert [v.number for v in again.versions] == [1, 2] and [x["status"] for x in again.rows] == ["superseded", "active"]
+    assert again.job_counts()["pending"] == 1
+    again.run_jobs(lambda table: 5)
+    assert schema.Packages(State(spark, path)).jobs[0] == {"id": 1, "table": "T", "status": "completed", "processed": 5}
+
+    def fails(state):
+        raise ValueError
+
+    steps = [(1, "a", lambda s: s + 1, lambda s: s - 1), (2, "b", fails, fails)]
+    kept = State(spark, f"{tmp_path}/migrations")
+    with pytest.raises(ValueError):
+        schema.Migrations(steps, kept).up(1)
+    assert schema.Migrations(steps, kept).status() == {"current": 1, "applied": [1], "pending": [2]}
+    assert schema.Migrations(steps, kept).down(2) == 1 and schema.Migrations(steps, kept).status()["current"] == 0
+
+
+def test_definitions_make_a_registry(spark, tmp_path):
+    structure = {"resourceType": "StructureDefinition", "url": "u/Pet", "type": "Pet", "kind": "resource", "snapshot": {"element": [{"path": "Pet", "max": "*"}, {"path": "Pet.owner", "max": "*"}, {"path": "Pet.nick", "max": "1"}]}}
+    base = {"resourceType": "StructureDefinition", "url": "u/DomainResource", "type": "DomainResource", "kind": "resource", "abstract": True}
+    parameters = [{"resource": {"resourceType": "SearchParameter", "code": c, "type": t, "base": ["Pet", "DomainResource"], "expression": f"Pet.{c}"}} for c, t in (("owner", "reference"), ("nick", "string"))]
+    found = Definitions([structure, base, {"resourceType": "ValueSet", "url": "v", "id": "x"}, {"resourceType": "StructureDefinition", "url": "u/Bare", "type": "Bare", "kind": "resource"}, {"resourceType": "Bundle", "entry": parameters}])
+    assert found.structure("u/Pet") is structure and found.value_set("v")["id"] == "x" and found.value_set("w") is None and found.code_system("v") is None
+    r = found.registry()
+    assert found.resource_types() == r.types() == ["Bare", "Pet"] and r.get("Pet", "owner").array and not r.get("Pet", "nick").array
+    engine = initialize(spark, str(tmp_path), found)
+    engine.store.create("Pet", {"nick": "Rex"}, id="1")
+    assert engine.status == "new" and engine.store.find("Pet", "nick=rex", 5)[0]["id"] == "1" and initialize(spark, str(tmp_path), found).status == "consistent"
+
+
+def test_latest_versions_of_a_stream(spark, tmp_path):
+    rows = [("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")]
+    for k, part in enumerate((rows[:2], rows[2:])):  # two batches: the second replaces what the first showed
+        spark.createDataFrame(part, "id string, versionSeq long, content string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id string, versionSeq long, content string").parquet(f"{tmp_path}/in")
+        query = incremental.latest_versions(stream).writeStream.outputMode("complete").format("memory").queryName(f"latest{k}").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("latest1").collect()) == [("a", 3, "z"), ("b", 2, "y")]
+
+
+def test_wildcard_includes_read_the_contents_of_the_page_alone(spark):
+    from fathomlake.operators.search import Searcher
+    from fathomlake.sources import tables
+
+    s = Searcher(tables.catalog(spark, "/root/testdata/sf0.001"), tables.registry())
+    page = spark.createDataFrame([("7",)], "id string")
+    found = s.references("Order", page, Include("Order", wildcard=True))
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")
+    assert len(below) == 2 and "Join LeftSemi" in below[1].partition("Relation")[0]  # contents are searched after the join with the page's ids
