@@ -163,7 +163,7 @@ def index_schema(resource_type: str, registry: Registry) -> T.StructType:
 
 
 def index_resource(resource: dict, resource_type: str, registry: Registry, extract=None) -> dict[str, Any]:
-    """All that is derived from a resource."""
+    """All that is derived from a resource. extract(resource, parameter) -> values takes the place of the paths, for columns, edges and lookup rows."""
     meta = resource.get("meta") if isinstance(resource.get("meta"), dict) else {}
     out: dict[str, Any] = {"_profile": meta.get("profile") or None, "_source": meta.get("source")}
     for name, column in (("tag", "___tag"), ("security", "___security")):
@@ -173,7 +173,7 @@ def index_resource(resource: dict, resource_type: str, registry: Registry, extra
     for p in registry.params(resource_type):
         out |= column_values(resource, p, resource_type, extract)
         path = path_of(p.expression, resource_type)
-        values = values_at(resource, path) if path else []
+        values = extract(resource, p) if extract else values_at(resource, path) if path else []
         if p.type == "reference":
             for raw in filter(None, map(reference_of, values)):
                 if edge := edge_of(raw):
@@ -181,7 +181,7 @@ def index_resource(resource: dict, resource_type: str, registry: Registry, extra
                     if edge[0] == "Patient" and resource_type != "Patient" and UUID.match(edge[1]) and edge[1] not in patients:
                         patients.append(edge[1])
         if p.strategy == "lookup-table" or p.code == "identifier":
-            if path and not all(isinstance(v, dict) for v in values):  # a part of the complex value: its row is that of the whole
+            if path and not extract and not all(isinstance(v, dict) for v in values):  # a part of the complex value: its row is that of the whole
                 values = values_at(resource, path[:-1])
             lookups += [{"table": found[0], "row": found[1]} for v in values if (found := lookup_rows(p.code, v))]
     return out | {"compartments": patients or None, "__edges": edges, "__lookups": lookups}

@@ -41,7 +41,8 @@ def now() -> str:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, registry: Registry, *, clock: Callable[[], str] = now, new_id: Callable[[], str] = lambda: str(uuid.uuid4())):
+    def __init__(self, spark: SparkSession, root: str, registry: Registry, *, clock: Callable[[], str] = now, new_id: Callable[[], str] = lambda: str(uuid.uuid4()), extractor: Callable | None = None):
+        self.extractor = extractor
         self.spark, self.root, self.registry, self.clock, self.new_id = spark, root.rstrip("/"), registry, clock, new_id
 
     @property
@@ -60,18 +61,21 @@ class Store:
     def state(self, resource_type: str) -> DataFrame:
         return latest(self.log(resource_type))
 
+    def derived(self, rows: DataFrame, resource_type: str) -> DataFrame:
+        return extract.index_contents(rows, resource_type, self.registry, self.extractor)
+
     def indexed(self, resource_type: str) -> DataFrame:
         """The state with all that is derived from the contents: what was compacted, and the ids that have changed since, indexed now."""
         log, folder = self.log(resource_type), f"{self.root}/index/{resource_type}"
         done = complete(self.spark, folder)
         if not done:
-            return extract.index_contents(latest(log), resource_type, self.registry)
+            return self.derived(latest(log), resource_type)
         kept = self.spark.read.parquet(f"{folder}/{done[-1]}")
         newer = log.where(F.col("versionSeq") > int(done[-1].partition("-")[0]))
         if self.files(f"{self.root}/touched"):
             touched = self.spark.read.schema(TOUCHED).parquet(f"{self.root}/touched").where(F.col("resourceType") == resource_type)
             newer = newer.unionByName(log.join(touched.select("id", "versionSeq").distinct(), ["id", "versionSeq"], "left_semi"))
-        changed = extract.index_contents(latest(newer), resource_type, self.registry)
+        changed = self.derived(latest(newer), resource_type)
         return kept.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
 
     def frame(self, resource_type: str) -> ResourceFrame:
@@ -211,7 +215,7 @@ class Store:
         seq = self.last(resource_type)
         again = sum(name.startswith(f"{seq:019d}-") for name in self.files(folder))
         target = f"{folder}/{seq:019d}-{again:09d}"  # after what was compacted at that version, in order of names
-        extract.index_contents(latest(log), resource_type, self.registry).sortWithinPartitions("id").write.mode("overwrite").parquet(target)
+        self.derived(latest(log), resource_type).sortWithinPartitions("id").write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target).count()
 
     def reindex(self, resource_type: str, id: str) -> bool:

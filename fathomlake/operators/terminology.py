@@ -65,6 +65,7 @@ class Table:
 
 class Terminology:
     def __init__(self, spark: SparkSession):
+        self.spark = spark
         self.codes = Table(spark, CODES, ["system", "code"])
         self.value_sets = Table(spark, VALUE_SETS, ["url", "version"])
         self.concepts = Table(spark, CONCEPTS, ["system", "code"])
@@ -80,6 +81,18 @@ class Terminology:
     def versions(self, url: str) -> DataFrame:
         return self.value_sets.where(url=url).orderBy("version")
 
+    def keep_expansion(self, url: str, version: str, expansion: str, at: str) -> None:
+        """Keeps a value set's expansion (JSON) in place of an earlier one."""
+        self.expansions.put(self.spark.createDataFrame([(url, version, expansion, at)], self.expansions.rows.schema))
+
+    def expansion(self, url: str, version: str) -> str | None:
+        row = self.expansions.where(url=url, version=version).first()
+        return row["expansion"] if row else None
+
+    def forget_expansion(self, url: str, version: str | None = None) -> None:
+        """Of one version, or of all."""
+        self.expansions.remove(**({"url": url} if version is None else {"url": url, "version": version}))
+
     def tree(self, system: str) -> DataFrame:
         return self.concepts.where(system=system).orderBy("level", "code")
 
@@ -106,6 +119,22 @@ class Conformance:
         self.elements = Table(spark, "structureId string, path string, id string, min int, max string, types string", ["structureId", "id"])
         self.parameters = Table(spark, "ig string, code string, type string, base string, expression string, url string", ["ig", "url"])
 
+    def structure(self, *, id: str | None = None, url: str | None = None):
+        """A structure's row by id or url, else None."""
+        return self.structures.where(**{k: v for k, v in (("id", id), ("url", url)) if v is not None}).orderBy("id").first()
+
+    def structures_of(self, type: str) -> DataFrame:
+        return self.structures.where(type=type).orderBy("id")
+
+    def derived_from(self, base: str) -> DataFrame:
+        return self.structures.where(baseDefinition=base).orderBy("id")
+
+    def parameters_of(self, ig: str) -> DataFrame:
+        return self.parameters.where(ig=ig).orderBy("code", "url")
+
+    def parameters_named(self, code: str) -> DataFrame:
+        return self.parameters.where(code=code).orderBy("ig", "url")
+
     def elements_like(self, structure: str, pattern: str) -> DataFrame:
         return self.elements.where(structureId=structure).where(F.col("path").like(pattern)).orderBy("path")
 

@@ -51,6 +51,14 @@ def lookup_tables() -> dict[str, T.StructType]:
     return {t: T.StructType([T.StructField(c, T.StringType()) for c in ("resourceId", "resourceType", *columns)]) for t, columns in LOOKUP_SCHEMAS.items()}
 
 
+def schema_ddl(registry: Registry) -> dict[str, str]:
+    """DDL of the whole schema by table: those of each type, then the lookup tables that all share."""
+    out: dict[str, str] = {}
+    for t in registry.types():
+        out |= table_set(t, registry).ddl()
+    return out | {name: f"CREATE TABLE IF NOT EXISTS `{name}` ({ddl(s)}) USING parquet" for name, s in lookup_tables().items()}
+
+
 def snapshot(registry: Registry) -> dict:
     """The whole schema as plain data: what is kept beside the tables."""
     sets = [table_set(t, registry) for t in registry.types()]
@@ -99,6 +107,25 @@ def migrate(rows: DataFrame, deltas: list[Delta], table: str, *, back: bool = Fa
     return rows
 
 
+@dataclass(frozen=True)
+class Plan:
+    """A migration from one snapshot to another: its deltas, and the tables to index anew afterwards."""
+
+    deltas: list[Delta]
+    reindex: list[str]
+
+    def up(self, rows: DataFrame, table: str) -> DataFrame:
+        return migrate(rows, self.deltas, table)
+
+    def down(self, rows: DataFrame, table: str) -> DataFrame:
+        return migrate(rows, self.deltas, table, back=True)
+
+
+def plan(old: dict, new: dict) -> Plan:
+    deltas = compare(old, new)
+    return Plan(deltas, [d.table for d in deltas if d.kind == "REINDEX"])
+
+
 def converted(c: Column, before: str, after: str) -> Column:
     """A cast that also turns a value into an array of it, and an array into its first value."""
     if after.startswith("array<") and not before.startswith("array<"):

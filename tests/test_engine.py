@@ -295,3 +295,41 @@ def test_wildcard_includes_read_the_contents_of_the_page_alone(spark):
     found = s.references("Order", page, Include("Order", wildcard=True))
     below = found._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")
     assert len(below) == 2 and "Join LeftSemi" in below[1].partition("Relation")[0]  # contents are searched after the join with the page's ids
+
+
+def test_whole_schema_and_plans(registry, spark):
+    made = schema.schema_ddl(registry)
+    assert {"Patient", "Patient_History", "Observation_References", "HumanName", "Address", "ContactPoint", "Identifier"} <= set(made)
+    old = schema.snapshot(registry)
+    new = {k: {"columns": dict(v["columns"]), "expressions": dict(v["expressions"])} for k, v in old.items()}
+    new["Patient"]["columns"]["height"] = "double"
+    new["Patient"]["expressions"]["height"] = "Patient.height"
+    made = schema.plan(old, new)
+    rows = spark.createDataFrame([("1",)], "id string")
+    assert made.reindex == ["Patient"] and made.up(rows, "Patient").columns == ["id", "height"] and made.down(made.up(rows, "Patient"), "Patient").columns == ["id"]
+
+
+def test_extractor_in_place_of_paths(spark, tmp_path):
+    r = Registry()
+    r.define("owner", "reference", ["Pet"], "Pet.owner", ["Person"])
+    r.define("nick", "string", ["Pet"], "Pet.nick")
+    store = Store(spark, str(tmp_path), r, new_id=ids(), extractor=lambda resource, p: [resource["fields"][p.code]])
+    store.create("Pet", {"fields": {"owner": "Person/7", "nick": "Rex"}}, id="1")
+    assert store.find("Pet", "nick=rex&owner=Person/7", 5)[0]["id"] == "1"
+    assert [tuple(x) for x in store.frame("Pet").references.select("targetType", "targetId", "code").collect()] == [("Person", "7", "owner")]
+
+
+def test_expansions_and_indexes(spark):
+    t, c = terminology.Terminology(spark), terminology.Conformance(spark)
+    for version, text in (("1", "a"), ("1", "b"), ("2", "c")):
+        t.keep_expansion("u", version, text, "2024-01-01")
+    assert (t.expansion("u", "1"), t.expansion("u", "2"), t.expansion("v", "1")) == ("b", "c", None)
+    t.forget_expansion("u", "1")
+    assert t.expansion("u", "1") is None and t.expansion("u", "2") == "c"
+    t.forget_expansion("u")
+    assert t.expansions.count() == 0
+    c.structures.put(spark.createDataFrame([("x", "ig", "u/x", "Patient", "resource", "u/b", "constraint"), ("y", "ig", "u/y", "Patient", "resource", "u/x", "constraint")], c.structures.rows.schema))
+    assert c.structure(id="x")["url"] == "u/x" and c.structure(url="u/y")["id"] == "y" and c.structure(url="z") is None
+    assert c.structures_of("Patient").count() == 2 and c.derived_from("u/x").first()["id"] == "y"
+    c.parameters.put(spark.createDataFrame([("ig", "name", "string", "Patient", "Patient.name", "u/n"), ("ig", "age", "number", "Patient", "Patient.age", "u/a")], c.parameters.rows.schema))
+    assert [x["code"] for x in c.parameters_of("ig").collect()] == ["age", "name"] and c.parameters_named("name").first()["url"] == "u/n"
