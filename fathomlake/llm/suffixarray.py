@@ -11,6 +11,8 @@ from .repeats import remove_repeats, runs
 Q = 8
 #: Suffixes whose buckets are refined together.
 TOGETHER = 1 << 14
+#: Bytes of a batch of a large input.
+MOST_BYTES = 16 << 20
 
 
 def grams(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -101,6 +103,7 @@ def suffix_array_dedup(docs: DataFrame, *, length: int = 50, gram: int = 16, id_
     """Bytes of each text without those covered by a `length`-byte string that a smaller document holds too.
 
     Returns every row with n_units, n_removed, spans and kept (binary: a cut may fall inside a character). Null and
-    empty texts, repeated ids, null ids and clashing columns: see remove_repeats.
+    empty texts, repeated ids, null ids and clashing columns: see remove_repeats. Batches grow from batch_bytes to MOST_BYTES
+    with the input.
     """
-    return remove_repeats(docs, held_before, unit="byte", length=length, gram=gram, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes)
+    return remove_repeats(docs, held_before, unit="byte", length=length, gram=gram, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, most_bytes=max(batch_bytes, MOST_BYTES))

@@ -145,6 +145,36 @@ def test_substring_and_suffix_array_dedup_equal_brute_force(spark):
     assert got == {i: (n, g, bytes(k), g) for i, (n, g, k) in removed(rows, lambda t: t.encode(), 50).items()}
 
 
+@pytest.mark.parametrize(("gb", "pairs"), [(0.2, 3_500), (0.9, 17_000), (10, 410_000), (50, 10_000_000)])
+def test_batches_of_suffix_array_dedup_grow_with_the_input(spark, monkeypatch, gb, pairs):
+    """A round has up to batches x buckets messages; neither batches nor buckets pass MOST_BYTES."""
+    sizes = {}
+
+    class Dealt(Exception):
+        pass
+
+    def dealt(*args, real=repeats.dealt):
+        sizes["n"] = real(args[0], int(gb * 1e9), *args[2:])
+        raise Dealt
+
+    monkeypatch.setattr(repeats, "dealt", dealt)
+    with pytest.raises(Dealt):
+        suffixarray.suffix_array_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    batches, buckets = sizes["n"]
+    assert batches * buckets <= pairs
+    assert min(batches, buckets) * suffixarray.MOST_BYTES >= gb * 1e9
+
+
+def test_suffix_array_dedup_of_grown_batches_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROW", 4)
+    rows, seen = corpus(), []
+    monkeypatch.setattr(repeats, "dealt", lambda *a, real=repeats.dealt: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], bytes(r["kept"])) for r in suffixarray.suffix_array_dedup(docs, batch_bytes=500).collect()}
+    assert got == {i: (n, g, bytes(k)) for i, (n, g, k) in removed(rows, lambda t: t.encode(), 50).items()}
+    assert seen[0][0] < sum(len((t or "").encode()) for _, t, _ in rows) // 500
+
+
 def test_dedup_of_null_and_repeated_ids_and_of_nothing(spark):
     t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     docs = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t + " more")], "doc_id long, text string")
